@@ -94,6 +94,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, si
     return Sample(table["y"].to_numpy(), table["fold"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("columns", np.int64), flat("vals", np.float64))
 
 
+#: First and second derivatives of the mean loss by each row's score.
+Loss = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
 class Sparse:
     """The sampled rows as a matrix over the columns that enough texts have."""
 
@@ -103,8 +107,7 @@ class Sparse:
         keep = rows[row]
         renumbered = np.cumsum(rows) - 1
         self.row, columns, self.value = renumbered[row[keep]], sample.columns[keep], sample.values[keep]
-        texts = np.bincount(columns, minlength=WIDTH)
-        held = texts[columns] >= MIN_TEXTS
+        held = np.bincount(columns, minlength=WIDTH)[columns] >= MIN_TEXTS
         self.row, self.value = self.row[held], self.value[held]
         self.used, self.column = np.unique(columns[held], return_inverse=True)
         self.rows = int(rows.sum())
@@ -115,6 +118,13 @@ class Sparse:
     def back(self, g: np.ndarray) -> np.ndarray:
         return np.bincount(self.column, self.value * g[self.row], len(self.used))
 
+    def table(self, columns: np.ndarray) -> np.ndarray:
+        """Some of the columns in full; a row for each text."""
+        at, held = np.cumsum(columns) - 1, columns[self.column]
+        out = np.zeros((self.rows, int(columns.sum())))
+        out[self.row[held], at[self.column[held]]] = self.value[held]
+        return out
+
     def steepest(self) -> float:
         """About the largest eigenvalue of X'X."""
         v = np.ones(len(self.used))
@@ -126,16 +136,16 @@ class Sparse:
         return size
 
 
-def fit_sparse(x: Sparse, slope: Callable[[np.ndarray], np.ndarray], curve: float, l1: float, rounds: int = 250) -> np.ndarray:
+def fit_sparse(x: Sparse, loss: Loss, curve: float, l1: float, rounds: int = 150) -> np.ndarray:
     """Weights with few entries: proximal gradient steps with momentum.
 
-    ``slope`` gives the derivative of the mean loss by each row's score, ``curve`` bounds its second derivative.
+    ``curve`` bounds the second derivatives of a row's loss.
     """
     w = z = np.zeros(len(x.used))
     step = x.rows / (curve * x.steepest() * 1.05)
     t = 1.0
     for _ in range(rounds):
-        ahead = z - step * x.back(slope(x.times(z)))
+        ahead = z - step * x.back(loss(x.times(z))[0])
         now = np.sign(ahead) * np.maximum(np.abs(ahead) - step * l1, 0)
         t, was = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         z = now + (was - 1) / t * (now - w)
@@ -143,10 +153,18 @@ def fit_sparse(x: Sparse, slope: Callable[[np.ndarray], np.ndarray], curve: floa
     return w
 
 
-def dense(x: Sparse, w: np.ndarray) -> np.ndarray:
-    """Weights over all columns, for scoring."""
+def fit_relaxed(x: Sparse, loss: Loss, curve: float, l1: float, ridge: float = 0.5, rounds: int = 25) -> np.ndarray:
+    """Weights over all columns: a strong penalty chooses few columns, then Newton steps set their weights, free of its shrinkage."""
     out = np.zeros(WIDTH)
-    out[x.used] = w
+    w = fit_sparse(x, loss, curve, l1)
+    chosen = w != 0
+    if chosen.any():
+        table, v = x.table(chosen), w[chosen]
+        for _ in range(rounds):
+            g, h = loss(table @ v)
+            step = np.linalg.solve(table.T @ (h[:, None] * table) + ridge / x.rows * np.eye(len(v)), table.T @ g + ridge / x.rows * v)
+            v = v - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-9))
+        out[x.used[chosen]] = v
     return out
 
 

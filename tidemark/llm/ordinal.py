@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of
-from .hashed_text import Sample, Sparse, dense, fit_sparse, labelled, sample_of, score, sigmoid
+from .hashed_text import Sample, Sparse, fit_relaxed, labelled, sample_of, score, sigmoid
 
 GRADES = 3
 #: A document is kept if it reaches this grade with this probability.
-KEEP_GRADE, KEEP_AT_LEAST = 2, 0.5
-L1 = 2e-4
+KEEP_GRADE, KEEP_AT_LEAST = 2, 0.7
+L1 = 8e-3
 #: Least distance of neighbouring thresholds.
 GAP = 1e-3
 
@@ -72,12 +72,12 @@ def fit(sample: Sample, grades: int = GRADES, l1: float = L1) -> CumulativeLink:
     x, target = Sparse(sample, train), y[train]
     t = [_start(target, grades)]
 
-    def slope(value: np.ndarray) -> np.ndarray:
+    def loss(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         upper, lower = _limits(t[0], target, value)
         t[0] = _ordered(t[0] - np.clip(_threshold_slopes(t[0], target, upper, lower) / x.rows, -0.5, 0.5))
-        return (1 - upper - lower) / x.rows
+        return (1 - upper - lower) / x.rows, (upper * (1 - upper) + lower * (1 - lower)) / x.rows
 
-    weights = dense(x, fit_sparse(x, slope, 0.25, l1))
+    weights = fit_relaxed(x, loss, 0.5, l1)
     value = np.add.reduceat(np.append(weights[sample.columns] * sample.values, 0.0), sample.starts[:-1]) * (np.diff(sample.starts) > 0)
     return CumulativeLink(weights, *_calibrated(t[0], value[~train], y[~train]))
 
@@ -103,9 +103,9 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
-    """Graded ratings (id, y) from quality and toxicity: 0 poor, 1 good but toxic, 2 good. Of repeated labels the lowest counts; nulls count as good and not toxic."""
+    """Graded ratings (id, y) from quality and toxicity: 0 toxic, 1 poor, 2 good. Of repeated labels the lowest counts; nulls count as good and not toxic."""
     good, toxic = F.coalesce(F.col("quality"), F.lit(1)), F.coalesce(F.col("toxic"), F.lit(0))
-    return labelled(labels, "doc_id", F.when(good == 0, 0).when(toxic == 1, 1).otherwise(2))
+    return labelled(labels, "doc_id", F.when(toxic == 1, 0).when(good == 0, 1).otherwise(2))
 
 
 def graded(docs: DataFrame, model: CumulativeLink, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = KEEP_GRADE, keep_at_least: float = KEEP_AT_LEAST) -> DataFrame:

@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, texts_of
-from .hashed_text import Sample, Sparse, dense, features, fit_sparse, labelled, sample_of, sigmoid
+from .hashed_text import Sample, Sparse, features, fit_relaxed, labelled, sample_of, sigmoid
 
 MIN_WORDS = 20
 WINDOW = 8
 REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 GOOD_AT_LEAST, TOXIC_BELOW = 0.5, 0.5
-L1 = 2e-4
+L1 = 8e-3
+NO_WEIGHTS = np.zeros(0)
 
 
 # base rules --------------------------------------------------------------------------------------
@@ -106,28 +107,23 @@ def fit(sample: Sample, y: np.ndarray, l1: float = L1) -> Regression:
     train = sample.fold != 0
     if min(y.sum(), len(y) - y.sum()) < 2 or train.all() or len(np.unique(y[train])) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return Regression(dense_zero(), 0.0, float(np.log(share / (1 - share))))
+        return Regression(NO_WEIGHTS, 0.0, float(np.log(share / (1 - share))))
     x, target = Sparse(sample, train), y[train].astype(float)
     start = float(np.log((target.mean() + 1e-9) / (1 - target.mean() + 1e-9)))
     intercept = [start]
 
-    def slope(score: np.ndarray) -> np.ndarray:
-        g = sigmoid(score + intercept[0]) - target
-        intercept[0] -= float(g.mean())
-        return g / x.rows
+    def loss(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = sigmoid(score + intercept[0])
+        intercept[0] -= float((p - target).mean() / max(1e-2, (p * (1 - p)).mean()))
+        return (p - target) / x.rows, p * (1 - p) / x.rows
 
-    w = fit_sparse(x, slope, 0.25, l1)
-    weights = dense(x, w)
+    weights = fit_relaxed(x, loss, 0.25, l1)
     starts = sample.starts
     all_scores = np.add.reduceat(np.append(weights[sample.columns] * sample.values, 0.0), starts[:-1]) * (np.diff(starts) > 0) if len(sample) else np.zeros(0)
     a, b = _line(all_scores[~train], y[~train])
     return Regression(weights, a, b)
 
 
-def dense_zero() -> np.ndarray:
-    return np.zeros(0)
-
-
 @dataclass
 class Rules:
     good: Regression
@@ -149,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = sample_of(docs, labelled(known, "id", y.cast("int")), id_col, text_col)
     if not len(sample):
-        return Rules(Regression(dense_zero(), 0.0, 10.0), Regression(dense_zero(), 0.0, -10.0))
+        return Rules(Regression(NO_WEIGHTS, 0.0, 10.0), Regression(NO_WEIGHTS, 0.0, -10.0))
     return Rules(fit(sample, sample.labels // 2), fit(sample, 1 - sample.labels % 2))
 
 
