@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hmm, ordinal, quality, simhash, spotsigs
+from . import bpe, chat, hmm, mixing, ordinal, quality, simhash, spotsigs
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+
+
+def tokenizer_spec(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return bpe.load(public_tokenizers.path(name))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_spec())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_spotsigs": op2_spotsigs,
@@ -51,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ordinal": op4_ordinal,
     "op5_hmm": op5_hmm,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -74,4 +90,33 @@ ORACLE_SQL: dict[str, str] = {
                sha256(learnt) AS loss_sha256, formatted::BIGINT AS formatted_chars
         FROM g
     """,
+    "op7_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight
+            FROM d GROUP BY source
+        ), l AS (
+            SELECT *, 3 * source_size / weight AS stop,
+                   (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+            FROM s WINDOW b AS (ORDER BY 3 * source_size / weight, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (
+            SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(weight * (SELECT min_by(level, stop) FROM l WHERE level <= stop), 'infinity'::DOUBLE)) AS target
+            FROM l
+        ), r AS (
+            SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+                   sum(size) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS upto
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), x AS (
+            SELECT *, target - whole * source_size AS rest,
+                   sum(size) OVER (PARTITION BY source, h)::BIGINT AS together
+            FROM r
+        )
+        SELECT doc_id, size, source_size, target,
+               (size * least(3, whole + CASE WHEN upto <= rest OR (upto - together <= rest AND upto - rest < rest - (upto - together)) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM x
+    """,
 }
