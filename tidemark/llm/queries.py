@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, hmm, mixing, ordinal, quality, simhash, spotsigs
+from . import bpe, chat, hmm, mixing, ordinal, pages, pii, quality, simhash, spotsigs
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +59,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_spotsigs": op2_spotsigs,
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_pages": op9_pages,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
