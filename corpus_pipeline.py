@@ -6,9 +6,16 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import bpe, mixing, pii, quality, simhash
 from tidemark.llm.common import shared_dir
+from tidemark.llm.queries import tokenizer_spec
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +23,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by the name of its kind; n_chars follows."""
+    return pii.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights: documents are left out or repeated."""
+    return mixing.repeated(docs)
+
+
+def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, decoded) of every document: its token ids, and the text that they give back."""
+    spec = tokenizer_spec()
+    return bpe.decode(bpe.encode(docs, spec), spec).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("redact_pii", redact_pii),
+    ("mix_sources", mix_sources),
+    ("encode_bpe", encode_bpe),
 ]
 
 #: The stages run trained models and a tokenizer, which SQL can't express; tests/llm holds them against brute force.
