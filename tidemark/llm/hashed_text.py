@@ -19,7 +19,7 @@ from .common import bytes_of
 
 WORD_BITS, TRIPLE_BITS = 18, 13
 #: Labelled rows to fit on: about so many, chosen by a hash of their id; the only bound, and it bounds the fit alone.
-SAMPLE = 8192
+SAMPLE = 4000
 #: A word or pair needs so many texts of the sample.
 MIN_TEXTS = 4
 #: What a share counts, against the presence of a word.
@@ -87,11 +87,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, si
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), columns, values], ["id", "y", "fold", "columns", "vals"])
 
     kind = dict(rows.dtypes)["_id"]
-    table = rows.mapInArrow(over, f"id {kind}, y int, fold int, columns array<int>, vals array<float>").toArrow()
-    table = table.sort_by("id").combine_chunks()
-    flat = lambda name, t: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks] or [np.zeros(0)]).astype(t)
-    sizes = np.array([len(x) for c in table["columns"].chunks for x in c], np.int64)
-    return Sample(table["y"].to_numpy(), table["fold"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("columns", np.int64), flat("vals", np.float64))
+    table = rows.mapInArrow(over, f"id {kind}, y int, fold int, columns array<int>, vals array<float>").toArrow().sort_by("id").combine_chunks()
+    flat = lambda name: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks] or [np.zeros(0)])
+    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in table["columns"].chunks] or [np.zeros(0)])
+    return Sample(table["y"].to_numpy(), table["fold"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("columns").astype(np.int32), flat("vals").astype(np.float32))
 
 
 #: First and second derivatives of the mean loss by each row's score.
@@ -102,14 +101,12 @@ class Sparse:
     """The sampled rows as a matrix over the columns that enough texts have."""
 
     def __init__(self, sample: Sample, rows: np.ndarray) -> None:
-        sizes = np.diff(sample.starts)
-        row = np.repeat(np.arange(len(sample)), sizes)
-        keep = rows[row]
-        renumbered = np.cumsum(rows) - 1
-        self.row, columns, self.value = renumbered[row[keep]], sample.columns[keep], sample.values[keep]
-        held = np.bincount(columns, minlength=WIDTH)[columns] >= MIN_TEXTS
-        self.row, self.value = self.row[held], self.value[held]
-        self.used, self.column = np.unique(columns[held], return_inverse=True)
+        row = np.repeat(np.where(rows, np.cumsum(rows) - 1, -1).astype(np.int32), np.diff(sample.starts))
+        texts = np.bincount(sample.columns[row >= 0], minlength=WIDTH)
+        held = np.flatnonzero((texts[sample.columns] >= MIN_TEXTS) & (row >= 0))
+        self.used = np.flatnonzero(texts >= MIN_TEXTS)
+        self.row, self.value = row[held], sample.values[held]
+        self.column = (np.cumsum(texts >= MIN_TEXTS) - 1).astype(np.int32)[sample.columns[held]]
         self.rows = int(rows.sum())
 
     def times(self, w: np.ndarray) -> np.ndarray:
