@@ -33,10 +33,11 @@ def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column | s
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
     """The target after every source row was updated or inserted by key. Keys of ``source`` must be unique, see last_per_key().
 
-    Columns that the source lacks become null in its rows; columns that the target lacks are dropped.
+    Columns pair in any case of letters. Those that the source lacks become null in its rows; those that the target lacks are dropped.
     """
-    given = source.select(*(c for c in target.columns if c in source.columns))
-    return _joined(target, given, key, "left_anti").unionByName(given, allowMissingColumns=True)
+    named = {c.lower(): c for c in source.columns}
+    given = source.select(*(F.col(f"`{named[c.lower()]}`").alias(c) for c in target.columns if c.lower() in named))
+    return _joined(target, given, resolve_keys(target.columns, key), "left_anti").unionByName(given, allowMissingColumns=True)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
