@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, texts_of
-from .wordtable import FLUSH, heaviest
+from .common import shuffle_partitions, sliced, texts_of
+from .wordtable import heaviest
 
 #: Words of the table that goes to every executor, and those that a task puts forward for it.
-HOT, FORWARD = 393_216, 65_536
+HOT, FORWARD = 262_144, 65_536
+#: Words that a task counts before it forgets those seen once.
+COUNTED = 300_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{_SPACE}]?[^{_SPACE}]+")
@@ -108,12 +111,15 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in texts_of(batch.column(0)):
                 counts.update(words_of(text, special))
-            if len(counts) > 2 * FLUSH:  # the rarest go, so that memory stays bounded
-                counts = Counter(dict(counts.most_common(FLUSH)))
-        best = [x for x in counts.most_common(FORWARD) if x[1] > 1]
+            least = 2
+            while len(counts) > COUNTED:  # the rarest go, so that memory stays bounded
+                counts = Counter({w: n for w, n in counts.items() if n >= least})
+                least += 1
+        least = max(2, int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -FORWARD)[-FORWARD])) if len(counts) > FORWARD else 2
+        best = [x for x in counts.items() if x[1] >= least]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
     counts = texts.mapInArrow(over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -134,7 +140,10 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     special = special_tokens(spec)
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot = hot_words(df.select(F.col(text_col).cast("string").alias("text")), spec)
-    shared = spark.sparkContext.broadcast((spec, hot))
+    ready = _encode(tokenizer_of(spec), hot)  # once, here: HOT words at most
+    many, flat = np.array([len(x) for x in ready] + [0], np.int64), np.fromiter(chain.from_iterable(ready), np.int32)
+    del ready
+    shared = spark.sparkContext.broadcast((spec, hot, many, flat))
     none = len(hot)
     ranks: dict[str, int] = {}
 
@@ -146,7 +155,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text, the ranks of its words; none where a word isn't hot."""
         get = ranked().get
-        for batch in batches:
+        for batch in sliced(batches):
             data = []
             for text in texts_of(batch.column(2)):
                 words = words_of(text, special)
@@ -156,7 +165,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Row, place and word of each word that isn't hot."""
         known = ranked()
-        for batch in batches:
+        for batch in sliced(batches):
             row, place, word = [], [], []
             for r, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(2))):
                 found = [w for w in words_of(text, special) if w not in known]
@@ -168,6 +177,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words in order: each distinct word is encoded once."""
         tokenizer, last, ids = tokenizer_of(shared.value[0]), None, b""
+        as_bytes = lambda x: array("I", x).tobytes()
         for batch in batches:
             words = batch.column(2).to_pylist()
             fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
@@ -175,31 +185,29 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             data = []
             for word in words:
                 if word != last:
-                    last, ids = word, packed(np.array(next(made), np.int64))
+                    last, ids = word, as_bytes(next(made))
                 data.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(words), pa.int64()), pa.array(data, pa.binary())], ["row", "place", "doc_id", "data"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order, each with its other words by place and its ranks last."""
-        ready = _encode(tokenizer_of(shared.value[0]), shared.value[1])
-        size = np.array([len(x) for x in ready] + [0], np.int64)
-        start, flat = np.cumsum(size) - size, np.fromiter(chain.from_iterable(ready), np.int64)
-        del ready
-        found: list[np.ndarray] = []
-        for batch in batches:
+        _, _, size, flat = shared.value
+        start = np.cumsum(size) - size
+        found: list[bytes] = []
+        for batch in sliced(batches, 20_000):
             docs, all_ids = [], []
             for place, doc, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if place != _LAST:
-                    found.append(unpacked(data))
+                    found.append(data)
                     continue
                 rank = unpacked(data)
                 missing = rank == none
-                own = np.array([len(x) for x in found], np.int64)
+                own = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 n = size[rank]
                 n[missing] = own
                 end = np.cumsum(n)
                 ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
-                for some, source, at in ((~missing, flat, start[rank[~missing]]), (missing, np.concatenate(found) if found else flat[:0], np.cumsum(own) - own)):
+                for some, source, at in ((~missing, flat, start[rank[~missing]]), (missing, np.frombuffer(b"".join(found), np.uint32), np.cumsum(own) - own)):
                     many = n[some]
                     inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                     ids[np.repeat(end[some] - many, many) + inside] = source[np.repeat(at, many) + inside]
@@ -239,10 +247,8 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decod
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.__getitem__
-        for batch in batches:
-            column = batch.column(at)
-            flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            texts = [b"".join(map(piece, flat[a:b])).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+        for batch in sliced(batches):
+            texts = [b"".join(map(piece, ids or ())).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*(f"_c{i}" for i in range(len(names))), "_out"])
 
     return df.toDF(*(f"_c{i}" for i in range(len(names)))).mapInArrow(over, schema).toDF(*names, out_col)

@@ -73,14 +73,8 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [t if t is not None else b"" for t in column.cast(kind).to_pylist()]
 
 
-def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
-    """Cut rows into consecutive slices whose sizes add up to ``most`` or less; a larger row gets a slice of its own."""
-    start, total, end = 0, 0, 0
-    for end, size in enumerate(sizes):
-        if total and total + size > most:
-            yield start, end
-            start, total = end, 0
-        total += size
-        end += 1
-    if end > start or total:
-        yield start, max(end, start + 1)
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows at most, so that lists of their texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
