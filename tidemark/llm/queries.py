@@ -81,7 +81,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
+_COMMON = ", ".join(f"'{w}'" for w in spotsigs.ANCHORS)
+_SPOTS = f"""
+        w AS (SELECT x, list_filter(regexp_split_to_array(lower(x), '[^\\p{{L}}\\p{{N}}]+'), lambda a: a <> '') AS w FROM t),
+        p AS (
+            SELECT x, w, list_filter(range(1, len(w) + 1), lambda i: w[i] IN ({_COMMON})) AS hits, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({_COMMON})) AS c FROM w
+        ), f AS (
+            SELECT x, w, list_concat(
+                list_transform(list_filter(range(1, len(hits) + 1), lambda a: hits[a] - a + 2 <= len(c)), lambda a: substr(md5(w[hits[a]] || ' ' || w[c[hits[a] - a + 1]] || ' ' || w[c[hits[a] - a + 2]]), 1, 16)),
+                list_transform(list_filter(range(1, len(c)), lambda j: CASE WHEN j > 8 THEN c[j] - c[j - 8] = 8 ELSE c[j] = j END), lambda j: substr(md5('* ' || w[c[j]] || ' ' || w[c[j + 1]]), 1, 16))
+            ) AS f FROM p
+        ), s AS (
+            SELECT x, CASE WHEN len(f) > 0 THEN list_sort(list_distinct(f)) WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 16)] WHEN x <> '' THEN [substr(md5(x), 1, 16)] ELSE []::VARCHAR[] END AS s FROM f
+        )"""
+_LIKE = "CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_spotsigs": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        o AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM d),
+        e AS (SELECT *, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM o),
+        t AS (SELECT DISTINCT x FROM (SELECT text AS x FROM e UNION ALL SELECT edited FROM e)),
+        {_SPOTS.strip()}
+        SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.s, '') AS fingerprint, array_to_string(b.s, '') AS edited_fingerprint,
+               {_LIKE.format(a="a.s", b="b.s")} AS near_edited, {_LIKE.format(a="a.s", b="n.s")} AS near_next
+        FROM e JOIN s a ON a.x = e.text JOIN s b ON b.x = e.edited JOIN s n ON n.x = e.next_text
+    """,
     "op3_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
