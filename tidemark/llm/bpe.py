@@ -13,7 +13,8 @@ import os
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 from itertools import chain
 from typing import Any
 
@@ -22,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, sliced, texts_of
+from .common import cut, shuffle_partitions, sliced, texts_of
 from .wordtable import heaviest
 
 #: Words of the table that goes to every executor, and those that a task puts forward for it.
 HOT, FORWARD = 262_144, 65_536
 #: Words that a task counts before it forgets those seen once.
 COUNTED = 300_000
+#: Words that a task sees less often count for their parts.
+SPLIT_BELOW = 4
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{_SPACE}]?[^{_SPACE}]+")
 _LONG_SPACE = re.compile(f"[{_SPACE}][{_SPACE}]|[{_SPACE}]\\Z")
+_LETTERS_THEN_MARKS = re.compile(f"([{_SPACE}]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{{-~]+)")
 _CUT = re.compile(f"(?=[{_SPACE}][^{_SPACE}])")
 
 
@@ -70,6 +74,12 @@ def words_of(text: str, special: list[str]) -> list[str]:
     return [w for w in _CUT.split(text) if w]
 
 
+def parts_of(word: str) -> list[str]:
+    """A word as letters and the ASCII punctuation behind them, which no merge joins; any other word stays whole."""
+    m = _LETTERS_THEN_MARKS.fullmatch(word)
+    return [m[1], m[2]] if m else [word]
+
+
 def _encode(tokenizer: Any, words: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
 
@@ -118,22 +128,33 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
             while len(counts) > COUNTED:  # the rarest go, so that memory stays bounded
                 counts = Counter({w: n for w, n in counts.items() if n >= least})
                 least += 1
+        for word in [w for w, n in counts.items() if n < SPLIT_BELOW]:
+            for part in parts_of(word):
+                counts[part] += counts[word] if part != word else 0
         least = max(2, int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -FORWARD)[-FORWARD])) if len(counts) > FORWARD else 2
         best = [x for x in counts.items() if x[1] >= least]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
-    counts = texts.mapInArrow(over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(texts.mapInArrow(over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     return [r.word for r in sorted(heaviest(counts, most).collect(), key=lambda r: (-r.n, r.word))]
 
 
 _LAST = 2**31 - 1
 
 
-def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+Finish = Callable[[list, list[np.ndarray]], pa.RecordBatch]
+
+
+def _as_arrays(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
+
+
+def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", finish: Finish = _as_arrays, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids) for every row of ``df``: the ids that the tokenizer gives for the whole text, without special tokens added.
 
     A null text counts as empty and has no ids; ids of documents may be null or repeat; an empty table gives an empty result; other columns are
-    ignored; special tokens inside a text have their own ids. ``df`` is read twice and must give its rows in the same order again, as tables on files
+    ignored; ``finish`` makes other columns of the ids where they are put together; special tokens inside a text have their own ids. ``df`` is read twice and must give its rows in the same order again, as tables on files
     do. Neither a text nor a word is cut.
     """
     spark = df.sparkSession
@@ -144,7 +165,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     many, flat = np.array([len(x) for x in ready] + [0], np.int64), np.fromiter(chain.from_iterable(ready), np.int32)
     del ready
     shared = spark.sparkContext.broadcast((spec, hot, many, flat))
-    none = len(hot)
+    none, width = len(hot), 2 if len(pieces_of(spec)) <= 1 << 16 else 4
     ranks: dict[str, int] = {}
 
     def ranked() -> dict[str, int]:
@@ -152,32 +173,44 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             ranks.update((w, i) for i, w in enumerate(shared.value[1]))
         return ranks
 
+    def told(text: str) -> tuple[list[int], list[str]]:
+        """Ranks of a text's words, none where a word isn't hot, and those words; a word that isn't hot goes by its parts."""
+        get, words = ranked().get, words_of(text, special)
+        found = [get(w, none) for w in words]
+        if none not in found:
+            return found, []
+        out, rare = [], []
+        for word, rank in zip(words, found):
+            if rank != none:
+                out.append(rank)
+                continue
+            for part in parts_of(word):
+                rank = get(part, none)
+                out.append(rank)
+                if rank == none:
+                    rare.append(part)
+        return out, rare
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text, the ranks of its words; none where a word isn't hot."""
-        get = ranked().get
+        """Of each text, the ranks of its words."""
         for batch in sliced(batches):
-            data = []
-            for text in texts_of(batch.column(2)):
-                words = words_of(text, special)
-                data.append(packed(np.fromiter((get(w, none) for w in words), np.int64, len(words))))
+            data = [packed(np.array(told(t)[0], np.int64)) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, _LAST, np.int32)), batch.column(1), pa.array(data, pa.binary())], ["row", "place", "doc_id", "data"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Row, place and word of each word that isn't hot."""
-        known = ranked()
         for batch in sliced(batches):
-            row, place, word = [], [], []
-            for r, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(2))):
-                found = [w for w in words_of(text, special) if w not in known]
-                row += [r] * len(found)
-                place += range(len(found))
-                word += found
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(word, pa.string())], ["row", "place", "word"])
+            found = [told(t)[1] for t in texts_of(batch.column(2))]
+            sizes = [len(f) for f in found]
+            row = np.repeat(batch.column(0).to_numpy(), sizes)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(list(chain.from_iterable(found)), pa.string())], ["row", "place", "word"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words in order: each distinct word is encoded once."""
         tokenizer, last, ids = tokenizer_of(shared.value[0]), None, b""
-        as_bytes = lambda x: array("I", x).tobytes()
+        code = "H" if width == 2 else "I"
+        as_bytes = lambda x: array(code, x).tobytes()
         for batch in batches:
             words = batch.column(2).to_pylist()
             fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
@@ -202,12 +235,12 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                     continue
                 rank = unpacked(data)
                 missing = rank == none
-                own = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                own = np.fromiter(map(len, found), np.int64, len(found)) // width
                 n = size[rank]
                 n[missing] = own
                 end = np.cumsum(n)
                 ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
-                for some, source, at in ((~missing, flat, start[rank[~missing]]), (missing, np.frombuffer(b"".join(found), np.uint32), np.cumsum(own) - own)):
+                for some, source, at in ((~missing, flat, start[rank[~missing]]), (missing, np.frombuffer(b"".join(found), f"u{width}"), np.cumsum(own) - own)):
                     many = n[some]
                     inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                     ids[np.repeat(end[some] - many, many) + inside] = source[np.repeat(at, many) + inside]
@@ -215,14 +248,13 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                 docs.append(doc)
                 all_ids.append(ids)
             if docs:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids)))], ["doc_id", "ids"])
+                yield finish(docs, all_ids)
 
     n = shuffle_partitions(spark)
     parts = "row long, place int, doc_id long, data binary"
     rare = rows.mapInArrow(others, "row long, place int, word string").repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, parts)
     both = rows.mapInArrow(placed, parts).unionByName(rare)
-    return both.repartition(n, "row").sortWithinPartitions("row", "place").mapInArrow(joined, "doc_id long, ids array<int>")
+    return both.repartition(n, "row").sortWithinPartitions("row", "place").mapInArrow(joined, schema)
 
 
 # decoding ----------------------------------------------------------------------------------------
@@ -255,11 +287,14 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decod
 
 
 def digests(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from those ids."""
-    decoded = decode(encode(df, spec, id_col, text_col), spec)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from those ids through the piece table."""
+    shared = df.sparkSession.sparkContext.broadcast(pieces_of(spec))
+
+    def digest(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        pieces = shared.value
+        plain = [x.tolist() for x in ids]
+        one = [sha256(",".join(map(str, x)).encode()).hexdigest() for x in plain]
+        two = [sha256(b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace").encode()).hexdigest() for x in plain]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) for x in plain], pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(df, spec, id_col, text_col, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
