@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, written
+from .common import bytes_of, sliced, written
 from .wordtable import counted, heaviest
 
 #: Words with counts that go to every executor, and those of them that are symbols: bounds, not tuned to data.
@@ -34,8 +34,6 @@ PRIOR = 50.0
 #: Tokens whose forward and backward vectors are held at once.
 BATCH_TOKENS = 300_000
 
-LN10 = float(np.log(10))
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -83,7 +81,6 @@ class Vocabulary:
     hot_share: np.ndarray
     end_known: bool
     end_base: float
-    unseen_base: float
     class_total: np.ndarray
     tokens: int
     base_divisor: float
@@ -123,7 +120,6 @@ def build_vocabulary(training: DataFrame) -> Vocabulary:
         hot_share=share,
         end_known=texts > 0,
         end_base=float(np.log10(((texts if texts else 0) + 0.5) / divisor)),
-        unseen_base=float(np.log10(0.5 / divisor)),
         class_total=total,
         tokens=tokens,
         base_divisor=divisor,
@@ -157,24 +153,27 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         hot, hot_symbol, hot_base, hot_share = shared.value
         hot_symbol, hot_base, hot_share = np.append(hot_symbol, -1), np.append(hot_base, 0.0), np.append(hot_share, 0.0)
         none = len(hot)
-        for batch in batches:
-            ids, held = batch.column(1), batch.column(2)
+        for batch in sliced(batches):
             rows: list[tuple] = []
+            others: list[Counter[bytes]] = []
             for text in bytes_of(batch.column(3)):
                 words = text.lower().split()
                 at = np.fromiter((hot.get(w, none) for w in words), np.int64, len(words))
                 symbols = np.append(hot_symbol[at], layout.end).astype(np.int32)
-                rare: Counter[bytes] = Counter()
-                for i in np.flatnonzero(at == none).tolist():
-                    symbols[i] = layout.of_class(words[i])
-                    rare[words[i]] += 1
-                known = int((at != none).sum()) + end_known
-                rows.append((len(words) + 1, known, float(hot_base[at].sum()) + end_base, float(hot_share[at].sum()), symbols, [{"word": w.decode(), "n": n} for w, n in rare.items()]))
+                places = np.flatnonzero(at == none)
+                rare = [words[i] for i in places.tolist()]
+                symbols[places] = [layout.of_class(w) for w in rare]
+                others.append(Counter(rare))
+                known = len(words) - len(rare) + end_known
+                rows.append((len(words) + 1, known, float(hot_base[at].sum()) + end_base, float(hot_share[at].sum()), symbols))
             columns = list(zip(*rows))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in columns[4]])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[4])))
+            ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends([len(x) for x in columns[4]]), pa.array(np.concatenate(columns[4])))
+            word = pa.array([w for c in others for w in c], pa.binary()).cast(pa.string())
+            times = pa.array([n for c in others for n in c.values()], pa.int32())
+            pairs = pa.ListArray.from_arrays(ends([len(c) for c in others]), pa.StructArray.from_arrays([word, times], ["word", "n"]))
             made = [pa.array(c, t) for c, t in zip(columns[:4], _ENCODED_TYPES.types[3:7])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, held, *made, lists, pa.array(columns[5], _ENCODED_TYPES.types[8])], _ENCODED_TYPES.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made, lists, pairs], _ENCODED_TYPES.names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     return written(rows.mapInArrow(over, ENCODED), "symbols")
@@ -210,11 +209,12 @@ def forward(p: Parameters, symbols: np.ndarray, keep: bool = False) -> tuple[np.
     vectors = np.zeros((steps, texts, len(p.start))) if keep else np.zeros(0)
     scales = np.ones((steps, texts)) if keep else np.zeros(0)
     state = np.zeros((texts, len(p.start)))
+    ones = np.ones(len(p.start))
     for t in range(steps):
         n = alive[t]
         before = p.start if t == 0 else state[:n] @ p.move
         now = before * p.emit[symbols[t, :n]]
-        scale = now.sum(1)
+        scale = now @ ones
         now /= scale[:, None]
         state[:n] = now
         total[:n] += np.log10(scale)
@@ -237,9 +237,9 @@ def expected(p: Parameters, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
             move += ahead[t, :later].T @ onward
             back[:later] = onward @ p.move.T
         ahead[t, :n] *= back[:n]
-    seen = symbols >= 0
-    which, weight = symbols[seen], ahead[seen]
-    emit = np.stack([np.bincount(which, weight[:, k], len(p.emit)) for k in range(len(p.start))], 1)
+    seen = np.flatnonzero(symbols.ravel() >= 0)
+    which, weight = symbols.ravel()[seen], np.ascontiguousarray(ahead.reshape(-1, len(p.start))[seen].T)
+    emit = np.stack([np.bincount(which, w, len(p.emit)) for w in weight], 1)
     return ahead[0, : alive[0]].sum(0), move * p.move, emit
 
 

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bytes_of, sliced
+
 #: Words that a task counts before it passes them on.
-FLUSH = 500_000
+FLUSH = 250_000
 
 
 def counted(df: DataFrame, words_of: Callable[[bytes], Iterable[bytes]]) -> DataFrame:
@@ -26,8 +28,8 @@ def counted(df: DataFrame, words_of: Callable[[bytes], Iterable[bytes]]) -> Data
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+        for batch in sliced(batches):
+            for text in bytes_of(batch.column(0)):
                 if text:
                     counts.update(words_of(text))
                     if len(counts) > FLUSH:
