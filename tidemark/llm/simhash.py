@@ -258,7 +258,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inside = fps.join(member, fps.fp == member.node)
     least = inside.groupBy("root").agg(F.min("first_doc").alias("least_doc"))
     linked = member.join(least, "root").select(F.col("node").alias("fp"), "least_doc")
-    whole = fps.join(linked, "fp", "left").select("fp", F.coalesce("least_doc", "first_doc").alias("component_id"))
+    whole = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("least_doc", "first_doc").alias("component_id")))  # so that a hot fingerprint's documents can be split in the last join
     return docs.join(whole, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
