@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, texts_of
+from .common import WORD, sliced, texts_of
 from .hashed_text import Sample, Sparse, features, fit_relaxed, labelled, sample_of, sigmoid
 
 MIN_WORDS = 20
@@ -158,11 +158,12 @@ def scored(df: DataFrame, rules: Rules, carried: list[str], text_col: str = "tex
     """The ``carried`` columns of every row with the columns of SCORED. A null text counts as empty, and fails."""
     shared = df.sparkSession.sparkContext.broadcast(rules)
     n = len(carried)
+    at = carried.index(text_col) if text_col in carried else n
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
-            for text in texts_of(batch.column(n)):
+            for text in texts_of(batch.column(at)):
                 base = base_rules(text)
                 good, toxic = shared.value.verdict(text.encode())
                 kept = not base.failed and good >= GOOD_AT_LEAST and toxic < TOXIC_BELOW
@@ -170,7 +171,7 @@ def scored(df: DataFrame, rules: Rules, carried: list[str], text_col: str = "tex
             made = [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)] if rows else [pa.array([], k) for k in _KINDS]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], [f"_c{i}" for i in range(n)] + _NAMES)
 
-    inner = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)), F.col(text_col).cast("string").alias("_text"))
+    inner = df.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)), *([F.col(text_col).cast("string").alias("_text")] if at == n else []))
     kinds = ", ".join(f"_c{i} {t}" for i, t in enumerate(t for _, t in inner.dtypes[:n]))
     out = inner.mapInArrow(over, f"{kinds}, {SCORED}")
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carried)})
