@@ -154,3 +154,58 @@ def test_alert_state_follows(spark):
     assert quiet.count() == 0 and kept.count() == 1
     over, empty = alerts.evaluate(signals.limit(0), state, now, 60)
     assert over.first().event == "RECOVERED" and empty.count() == 0
+
+
+def test_documents_move(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "a"), ("2", None)], "_id string, v string")
+    assert migration.move_documents(spark, docs, str(tmp_path / "out"), "OVERWRITE") == {"written": 2, "status": "OK", "sampled": 2, "differing": 0}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        migration.move_documents(spark, docs, str(tmp_path / "out"), "FAIL_IF_EXISTS")
+    spark.sql("DROP TABLE IF EXISTS moved")
+    texts = spark.createDataFrame([('{"_id":1,"n":2}',), ('{"_id":2,"n":2.5}',)], "doc string")
+    made = migration.collection_to_table(spark, texts, "moved", "APPEND", where='{"n":{"$gt":2}}')
+    assert made == {"columns": ["_id", "n"], "written": 1, "status": "OK"} and rows(spark.table("moved")) == [(2, 2.5)]
+
+
+def test_recovery(spark, tmp_path):
+    from itertools import islice
+
+    from tidemark.streaming import recovery
+
+    assert [recovery.failure_class(t) for t in ("binlog has been purged", "Access denied for x", "[TABLE_OR_VIEW_NOT_FOUND] t", "Unknown column 'a'", "reset by peer")] == ["PURGED", "AUTH", "TARGET_TABLE_MISSING", "SCHEMA_DRIFT", "TRANSIENT"]
+    assert list(islice(recovery.waits(), 8)) == [1, 2, 4, 8, 16, 32, 60, 60] and not recovery.may_retry("AUTH")
+    gate = recovery.RepairGate()
+
+    def fail():
+        raise ValueError
+
+    for _ in range(3):
+        with pytest.raises(ValueError):
+            gate.try_repair("t", fail)
+    assert not gate.try_repair("t", fail) and gate.try_repair("u", lambda: None) and gate.attempts == {"t": 3}
+    table = VersionedTable(spark, str(tmp_path), "b")
+    log = spark.createDataFrame([(3,), (9,)], "seq int")
+    assert recovery.baseline(spark.range(4), table, recovery.last_position(log)) == 9 and table.current().count() == 4
+
+
+def test_structure_follows_a_diff(spark):
+    from pyspark.sql import types as T
+
+    from tidemark.plans import structure
+
+    spark.sql("DROP TABLE IF EXISTS shaped")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    spark.sql("CREATE TABLE shaped (a BIGINT) USING parquet")
+    changes = [("TABLE", "CREATE", "shaped", None), ("COLUMN", "ALTER", "shaped", "a"), ("TABLE", "DROP", "shaped", None), ("COLUMN", "CREATE", "gone", "x")]
+    done = structure.apply(spark, changes, {"shaped": schema, "gone": T.StructType([T.StructField("x", T.LongType())])})
+    assert [d.split(":")[0] for _, d in done] == ["APPLIED", "SKIPPED", "SKIPPED", "FAILED"] and spark.table("shaped").columns == ["a", "b"]
+    assert structure.rewritten_column(spark, "shaped", "A", T.StringType()) == "CAST(`a` AS string) AS `a`, `b`"
+
+
+def test_boundaries_come_back_as_they_were():
+    from decimal import Decimal
+
+    from tidemark.operators.scan import boundary_text, boundary_values
+
+    key = [1, "x", datetime(2024, 1, 1, 0, 0, 0, 123456), Decimal("1.50"), b"\x00\xff", None]
+    assert boundary_values(boundary_text(key)) == key

@@ -102,6 +102,11 @@ def resume_problem(df: DataFrame, key: str) -> str | None:
     return None if duplicate_keys(df, key).isEmpty() else "repeated"
 
 
+def boundary_is_unique(df: DataFrame, key: str, last: Any) -> bool:
+    """Whether the value that a resumed run starts after occurs once at most: otherwise rows of equal keys could be lost."""
+    return df.where(F.col(key) == F.lit(last)).limit(2).count() <= 1
+
+
 def resumed(df: DataFrame, key: str, last: Any) -> DataFrame:
     """Rows beyond the last value that was committed."""
     return df if last is None else df.where(F.col(key) > F.lit(last))
@@ -139,6 +144,8 @@ def run(spark: SparkSession, task: EtlTask, now: datetime, state: StateStore | N
     if task.resume_key:
         if problem := resume_problem(source, task.resume_key):
             raise EtlError(f"resume key {task.resume_key}: {problem}")
+        if last is not None and not boundary_is_unique(source, task.resume_key, last):
+            raise EtlError(f"resume key {task.resume_key}: {last} occurs more than once")
         source = resumed(source, task.resume_key, last)
     there = spark.catalog.tableExists(task.target)
     target = spark.table(task.target) if there else None

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -115,6 +118,25 @@ def boundary_ranges(boundaries: Sequence[Any]) -> list[tuple[Any, Any]]:
     return list(zip([None, *inner], [*inner, None]))
 
 
+def boundary_text(values: Sequence[Any]) -> str:
+    """Key values as JSON for a checkpoint; moments, decimals and bytes carry a mark, so that they come back as they were."""
+
+    def marked(v: Any) -> Any:
+        if isinstance(v, datetime):
+            return {"moment": v.isoformat()}
+        if isinstance(v, Decimal):
+            return {"decimal": str(v)}
+        return {"bytes": v.hex()} if isinstance(v, (bytes, bytearray)) else v
+
+    return json.dumps([marked(v) for v in values])
+
+
+def boundary_values(text: str) -> list[Any]:
+    """What boundary_text() wrote."""
+    back = {"moment": datetime.fromisoformat, "decimal": Decimal, "bytes": bytes.fromhex}
+    return [back[next(iter(v))](next(iter(v.values()))) if isinstance(v, dict) else v for v in json.loads(text)]
+
+
 @dataclass(frozen=True)
 class Route:
     kind: str  # KEYSET_NUMERIC, KEYSET_COMPOSITE or STREAMING_FALLBACK

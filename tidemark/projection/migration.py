@@ -5,10 +5,11 @@ from __future__ import annotations
 import copy
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.objects import glob_list, glob_regex
+from .documents import condition, inferred, parse_filter, rendered
 
 MODES = {"OVERWRITE": "overwrite", "APPEND": "append", "FAIL_IF_EXISTS": "errorifexists"}
 #: Settings that belong to one cluster and aren't taken along.
@@ -53,3 +54,22 @@ def verify_sample(source: DataFrame, target: DataFrame, key: str, ids: DataFrame
     own = lambda df, tag: df.join(ids.select(key), key, "left_semi").select(key, F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias(tag))
     both = own(source, "a").join(own(target, "b"), key, "left")
     return both.agg(F.count("*").alias("sampled"), F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).alias("mismatched"))
+
+
+def move_documents(spark: SparkSession, docs: DataFrame, path: str, mode: str, key: str = "_id", sample: int = 100) -> dict:
+    """Copy documents (a column each) as JSON lines and verify: counts decide over success, differences in the sample are only told."""
+    docs.write.mode(write_mode(mode)).json(path)
+    arrived = spark.read.schema(docs.schema).json(path)
+    n = docs.count()
+    seen = verify_sample(docs, arrived, key, docs.select(key).orderBy(F.xxhash64(key)).limit(sample)).first()
+    return {"written": n, "status": verify_count(n, n, arrived.count(), mode), "sampled": seen.sampled, "differing": seen.missing + seen.mismatched}
+
+
+def collection_to_table(spark: SparkSession, docs: DataFrame, table: str, mode: str, json_col: str = "doc", where: str = "{}") -> dict:
+    """Infer columns from JSON documents, render them as rows, write a table and verify its count. ``where`` is a filter on the columns."""
+    columns = inferred(docs, json_col)
+    rows = rendered(docs, json_col, columns).where(condition(parse_filter(where)))
+    before = spark.table(table).count() if mode == "APPEND" and spark.catalog.tableExists(table) else 0
+    rows.write.mode(write_mode(mode)).saveAsTable(table)
+    n, now = rows.count(), spark.table(table).count()
+    return {"columns": [c for c, _, _ in columns], "written": n, "status": verify_count(before + n, n, now, mode)}
