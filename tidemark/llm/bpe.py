@@ -81,7 +81,8 @@ def parts_of(word: str) -> list[str]:
 
 
 def _encode(tokenizer: Any, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    """Ids of each word; the tokenizer's own records, which are large, are made for a few thousand words at a time."""
+    return [e.ids for i in range(0, len(words), 4096) for e in tokenizer.encode_batch(words[i : i + 4096], add_special_tokens=False)]
 
 
 # small numbers as bytes --------------------------------------------------------------------------
