@@ -667,7 +667,7 @@ def user_sql_ranks(spark, sf_dir):
 
 
 _FOREIGN = """CREATE OR REPLACE VIEW v AS SELECT "O_ORDERKEY" AS o_orderkey, NVL2(o_orderstatus, 'set', 'unset') AS known, DECODE(o_orderpriority, '1-URGENT', 1, '2-HIGH', 2, 9) AS urgency,
-    SUBSTR(o_orderpriority, 1, 3) || '!' AS head, POW(2, MOD(o_orderkey, 3)) AS two, LENGTHB(o_orderstatus) AS bytes, CAST(o_orderkey AS VARCHAR2(20)) AS txt FROM orders WHERE o_orderkey > 10 MINUS SELECT 0, 'a', 0, 'b', 0, 0, 'c' FROM DUAL FETCH FIRST 100000 ROWS ONLY"""
+    SUBSTR(o_orderpriority, 1, 3) || '!' AS head, POW(2, MOD(o_orderkey, 3)) AS two, LENGTHB(o_orderstatus) AS bytes, CAST(o_orderkey AS VARCHAR2(20)) AS txt FROM orders WHERE o_orderkey > 10 MINUS SELECT 0, 'a', 0, 'b', 0, 0, 'c' FROM DUAL"""
 
 
 @query("""
