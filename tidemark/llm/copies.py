@@ -1,0 +1,167 @@
+"""Near copies by the likeness of their words.
+
+Two texts are as like as the Jaccard similarity of their sets of shingles, runs of SHINGLE_WORDS words. Texts of equal sets form a
+class. Classes that agree in a band of min-hashes are candidates, and candidates are compared by their whole sets. Two
+classes of likeness s miss each other in all bands with probability (1 - s^ROWS)^BANDS, 7e-10 at THRESHOLD and less above it;
+nothing else is left to chance, and no bucket is capped. A bucket is compared with one of its classes at a
+time, so that a crowd of copies costs a pair for each class, and all pairs that are still open come last.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, bytes_of, cut, written
+from .components import connected_components
+from .spotsigs import pruned_likeness
+
+SHINGLE_WORDS = 5
+THRESHOLD = 0.8
+#: Bands, and min-hashes in each.
+BANDS, ROWS = 40, 4
+SEED = 42
+#: After so many rounds, or when so few pairs for each member of a bucket are open, all open pairs are compared. Only the cost depends on these figures.
+STAR_ROUNDS, OPEN_PAIRS = 6, 2
+
+
+# sets --------------------------------------------------------------------------------------------
+
+
+def shingles_of(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted hashes of the shingles of a UTF-8 text; a text with too few words is one shingle, one without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    last = ends[min(shingle_words, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), np.uint64, len(last)))
+
+
+@lru_cache(maxsize=1)
+def _turns() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(SEED)
+    return r.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, BANDS * ROWS, np.uint64)
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band of a set's min-hashes; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    factor, shift = _turns()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[i : i + 512, None] * factor + shift).min(0), out=least)
+    return np.fromiter((xxhash.xxh3_64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64)
+
+
+def _class_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - 2**63
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark and text: a row is named by its id and a hash of its text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def with_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, class, bands) for every row of ``df``; a null text counts as empty."""
+
+    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        classes, bands = [], []
+        for text in bytes_of(batch.column(2)):
+            found = shingles_of(text)
+            classes.append(_class_of(found))
+            bands.append(bands_of(found))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "class", "bands"])
+
+    return arrow_map(_named(df, id_col, text_col), over, "doc_id long, mark long, class long, bands array<long>")
+
+
+def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, set) of the classes whose rows ``wanted`` names."""
+
+    def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = [shingles_of(t) for t in bytes_of(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["class", "set"])
+
+    rows = _named(df, id_col, text_col)
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["mark"] == wanted["mark"])
+    found = arrow_map(rows.join(wanted, same, "left_semi").select("text"), over, "class long, set array<long>")
+    return found.dropDuplicates(["class"])
+
+
+# links -------------------------------------------------------------------------------------------
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are alike to the threshold or more."""
+    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("left")), sets.select(F.col("class").alias("b"), F.col("set").alias("right"))
+    return pairs.join(left, "a").join(right, "b").where(pruned_likeness(F.col("left"), F.col("right"), threshold) >= threshold).select("a", "b")
+
+
+def _roots(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) for the classes that copy one another; ``members`` has (bucket, class) of buckets with several classes."""
+    spark = members.sparkSession
+    edges = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for turn in range(STAR_ROUNDS + 1):
+        rooted = cut(members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root")))
+        sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        crowded = sizes.where("inside < m * m")
+        row = crowded.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("members")).first()
+        if not row.pairs:
+            return roots
+        still = rooted.join(crowded.select("bucket"), "bucket")
+        last = turn == STAR_ROUNDS or row.pairs <= OPEN_PAIRS * row.members
+        if last:
+            hub = still.select("bucket", F.col("class").alias("hub"), F.col("root").alias("hub_root"))
+        else:
+            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("by"), F.col("class").alias("hub"), F.col("root").alias("hub_root")))
+            hub = still.groupBy("bucket").agg(centre.alias("c")).select("bucket", "c.hub", "c.hub_root")
+        open_pairs = still.join(hub, "bucket").where("root <> hub_root" + (" AND class < hub" if last else ""))
+        pairs = open_pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+        edges = cut(edges.unionByName(_alike(pairs, sets, threshold)))
+        roots = connected_components(edges)
+        if last:
+            return roots
+    return roots
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, one for each group of near copies: the one with the smallest id.
+
+    Groups join texts by chains of pairs whose sets of shingles are alike to ``threshold`` (THRESHOLD or more) or equal. Rows are judged by their own
+    text, so rows that share an id don't share a fate; of rows in a group that share the smallest id and differ in text, the one whose text
+    has the least hash stays, and of rows that repeat it, one. A row without an id can't be named as a copy and stays.
+    """
+    rows = written(with_classes(df, id_col, text_col), "copies")
+    classes = rows.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"))
+    classes = cut(classes)
+    entries = rows.select("class", F.explode("bands").alias("bucket")).distinct()
+    several = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = cut(entries.join(several, "bucket").select("bucket", "class"))
+    wanted = classes.join(members.select("class").distinct(), "class").select("any.doc_id", "any.mark")
+    sets = written(_sets(df, wanted, id_col, text_col), "sets")
+    roots = _roots(members, sets, threshold)
+    groups = classes.join(roots, classes["class"] == roots["node"], "left").select(F.coalesce("root", "class").alias("group"), "least")
+    kept = cut(groups.groupBy("group").agg(F.min("least").alias("k")).where("k IS NOT NULL").select(F.col("k.doc_id").alias("_kept"), F.col("k.mark").alias("_mark")))
+    twice = cut(rows.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("mark") == F.col("_mark"))).groupBy("_kept", "_mark").count().where("count > 1").select("_kept", "_mark"))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    at = lambda t: (F.col(id_col).cast("long") == t["_kept"]) & (mark == t["_mark"])
+    lone = df.where(F.col(id_col).cast("long").isNull())
+    left = df.join(kept, at(kept), "left_semi")
+    if twice.isEmpty():
+        return left.unionByName(lone)
+    once = left.join(twice, at(twice), "left_anti")
+    return once.unionByName(left.join(twice, at(twice), "left_semi").dropDuplicates([id_col])).unionByName(lone)
