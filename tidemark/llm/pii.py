@@ -93,7 +93,7 @@ _GENERATORS: list[tuple[str, re.Pattern[str]]] = [
     ("phone", re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ -]?)?[(]?[0-9]{3}[)]?[ -][0-9]{3}-[0-9]{4}(?![0-9])")),
     ("id", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("id", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("secret", re.compile(r"(?<![\w/+=.-])(?=[\w/+=.-]{0,60}[0-9])[A-Za-z0-9][\w/+=.-]{18,200}")),
+    ("secret", re.compile(r"(?<![\w/+=.-])(?=[\w/+=.-]{0,60}[0-9])[A-Za-z0-9][\w/+=.-]{18,}+")),
 ]
 
 _SECRET_WORDS = re.compile(r"(?:\b|_)(?:token|secret|passw\w*|api.?key|key|access|auth|bearer|credentials?|private)(?:\b|_)", re.I)
@@ -166,6 +166,7 @@ def _written(r: random.Random) -> tuple[str, str, bool]:
         lambda: around(r.choice(["iban ", ""]), f"{r.choice(['DE', 'FR', 'ES'])}{d(2)} " + " ".join(d(4) for _ in range(4))),
         lambda: around(r.choice(['token = "', 'api_key = "', "password: '", 'secret="', "Bearer "]), r.choice([hexed(40), hexed(32), mixed(r.randint(20, 48))]), '"'),
         lambda: around(r.choice(["key ", ""]), r.choice(["AKIA", "sk-", "ghp_"]) + mixed(r.randint(20, 40))),
+        lambda: around(r.choice(['token = "', "Bearer ", "auth: ", ""]), "eyJ" + ".".join(mixed(r.randint(20, 600)) for _ in range(3)), r.choice(['"', ""])),
     ]
     no = [
         lambda: around("", f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"),
@@ -181,6 +182,7 @@ def _written(r: random.Random) -> tuple[str, str, bool]:
         lambda: around("http://", f"{word()}.com/{word()}/{d(6)}/{word()}-{word()}"),
         lambda: around("", f"{word()}{word()}-{word()}-{word()}{d(2)}-{word()}"),
         lambda: around("", f"{word()}_{word()}_{d(4)}_{word()}{word()}"),
+        lambda: around("", f"{d(4)}/{d(2)}/" + "-".join(word() for _ in range(r.randint(10, 120)))),
         lambda: around("pages ", f"{d(3)}-{d(3)}"),
         lambda: around("", f"{word()} at {word()}. {word()} dot {word()}"),
         lambda: around("", ".".join(str(r.randint(256, 999)) for _ in range(4))),
