@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, written
 
 WORD_BITS, TRIPLE_BITS = 18, 13
 #: Labelled rows to fit on: about so many, chosen by a hash of their id; the only bound, and it bounds the fit alone.
-SAMPLE = 4000
+SAMPLE = 8192
 #: A word or pair needs so many texts of the sample.
 MIN_TEXTS = 4
 #: What a share counts, against the presence of a word.
@@ -71,7 +71,8 @@ class Sample:
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> Sample:
     """Features of about ``size`` labelled texts. ``labels`` has the columns id and y, one row for each id.
 
-    Rows are chosen by a threshold on a hash of the id, so the same rows come again in any order of reading.
+    Rows are chosen by a threshold on a hash of the id, so the same rows come again in any order of reading. Columns that fewer than
+    MIN_TEXTS of the texts have can't enter a fit; they are counted and left out on the executors.
     """
     there = labels.count()
     if there > size:
@@ -87,10 +88,26 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, si
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), columns, values], ["id", "y", "fold", "columns", "vals"])
 
     kind = dict(rows.dtypes)["_id"]
-    table = rows.mapInArrow(over, f"id {kind}, y int, fold int, columns array<int>, vals array<float>").toArrow().sort_by("id").combine_chunks()
+    schema = f"id {kind}, y int, fold int, columns array<int>, vals array<float>"
+    found = written(rows.mapInArrow(over, schema), "sample")
+    common = found.select(F.explode("columns").alias("c")).groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).select("c").toArrow()["c"].to_numpy()
+    mask = np.zeros(WIDTH, bool)
+    mask[common.astype(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(shared.value, count=WIDTH).astype(bool)
+        for batch in batches:
+            lists = [(c.values.to_numpy(), v.values.to_numpy()) for c, v in zip(batch.column(3), batch.column(4))]
+            held = [used[c] for c, _ in lists]
+            columns = pa.array([c[h] for (c, _), h in zip(lists, held)], pa.list_(pa.int32()))
+            values = pa.array([v[h] for (_, v), h in zip(lists, held)], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], columns, values], ["id", "y", "fold", "columns", "vals"])
+
+    table = found.mapInArrow(thinned, schema).toArrow().sort_by("id").combine_chunks()
     flat = lambda name: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks] or [np.zeros(0)])
     sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in table["columns"].chunks] or [np.zeros(0)])
-    return Sample(table["y"].to_numpy(), table["fold"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("columns").astype(np.int32), flat("vals").astype(np.float32))
+    return Sample(table["y"].to_numpy(), table["fold"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("columns").astype(np.int32, copy=False), flat("vals").astype(np.float32, copy=False))
 
 
 #: First and second derivatives of the mean loss by each row's score.
