@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,9 +222,11 @@ def test_mix(spark, odd, none, docs):
     assert mixing.mixed(none).count() == 0 and mixing.repeated(none).columns == none.columns
 
 
-@pytest.mark.parametrize("hot", [bpe.HOT, 50])
-def test_encoding(spark, odd, none, docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot,chunk,segment", [(bpe.HOT, bpe.CHUNK_CHARS, bpe.SEGMENT_CHARS), (50, 700, 90)])
+def test_encoding(spark, odd, none, docs, monkeypatch, hot, chunk, segment):
     monkeypatch.setattr(bpe, "HOT", hot)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(bpe, "SEGMENT_CHARS", segment)
     monkeypatch.setattr(bpe.hot_words, "__defaults__", (hot,))
     spec = queries.tokenizer_spec()
     tokenizer = bpe.tokenizer_of(spec)
@@ -237,6 +240,19 @@ def test_encoding(spark, odd, none, docs, monkeypatch, hot):
     assert bpe.digests(none, spec).count() == 0
 
 
+def test_numbers_in_few_bytes():
+    for numbers in ([], [0, 127, 128, 16383, 16384, 2**21, 2**28, 2**34], list(range(500))):
+        assert bpe.unpacked(bpe.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_decoding_joins_ids_with_pieces(spark):
+    spec = queries.tokenizer_spec()
+    ids = bpe.tokenizer_of(spec).encode("naïve 字 <|endoftext|>x", add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, ids, "k"), (2, None, "k"), (3, [], "k"), (4, [ids[0], 10**6, -1, None], "k")], "n long, ids array<int>, _out string")
+    got = {r.n: r.decoded for r in bpe.decode(df, spec).collect()}
+    assert got == {1: "naïve 字 <|endoftext|>x", 2: "", 3: "", 4: bpe.pieces_of(spec)[ids[0]].decode()}
+
+
 def test_pages(spark):
     frame = "<html><body><div>Site menu</div><div>%s</div><div>All rights</div>"
     rows = [(i, f"http://h.com/a/{i}", frame % f"Text {i}") for i in range(6)] + [(7, "http://other.com/", frame % "Lone"), (8, None, None), (9, "http://h.com/a/9", ""), (None, "x", "<article>y</article>"), (7, "http://other.com/", frame % "Lone")]

@@ -2,8 +2,9 @@
 
 Texts are split into words where no merge can cross: before the last white-space character of a run, and around special
 tokens. Each distinct word is encoded once. Words that many tasks hold are encoded ahead and go to every executor, a bounded
-table; all others are dealt out by word, encoded once in the task that gets them, and their ids return to
-their place by row and position. Decoding joins ids with the vocabulary's pieces.
+table. Of all others a chunk of texts sends each once, packed with those that go to the same part; a part has all of a word's
+askers, encodes it once, and its ids return to the chunk, where they are put in the word's places. Decoding joins ids with the
+table of pieces, which is as long as the vocabulary and so is at every executor.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, sliced, texts_of
+from .common import cut, shuffle_partitions, sliced, texts_of, written
 from .wordtable import heaviest
 
 #: Words of the table that goes to every executor, and those that a task puts forward for it.
@@ -32,6 +35,10 @@ HOT, FORWARD = 262_144, 65_536
 COUNTED = 300_000
 #: Words that a task sees less often count for their parts.
 SPLIT_BELOW = 4
+#: Characters of text after which a chunk of texts is closed, and of a long text that are split into words at once.
+CHUNK_CHARS, SEGMENT_CHARS = 1 << 22, 1 << 20
+#: Parts that other words are dealt to, for each shuffle partition; words of a part whose ids are kept at once.
+PARTS, KNOWN = 4, 500_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{_SPACE}]?[^{_SPACE}]+")
@@ -89,25 +96,43 @@ def _encode(tokenizer: Any, words: list[str]) -> list[list[int]]:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2 ** 21 in one to three bytes each, seven bits a byte, the last one below 128."""
-    x = numbers.astype(np.uint32)
-    size = 1 + (x >= 128) + (x >= 1 << 14)
+    """Numbers below 2 ** 35 in one to five bytes each, seven bits a byte, the last one below 128."""
+    x = numbers.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for k in range(1, 5):
+        size += x >= 1 << 7 * k
     end = np.cumsum(size)
     out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
     start = end - size
-    for k in range(3):
-        some = size > k
-        part = (x[some] >> np.uint32(7 * k)) & np.uint32(127)
-        out[start[some] + k] = np.where(size[some] > k + 1, part | 128, part)
+    for k in range(int(size.max()) if len(x) else 0):
+        some = np.flatnonzero(size > k)
+        part = (x[some] >> np.uint64(7 * k)) & np.uint64(127)
+        out[start[some] + k] = np.where(size[some] > k + 1, part | np.uint64(128), part)
     return out.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).astype(np.int64)
-    last = raw < 128
-    start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
-    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
-    return np.add.reduceat((raw & 127) << (7 * place), start) if len(raw) else np.zeros(0, np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    if len(last) == len(raw):
+        return raw.astype(np.int64)
+    start = np.concatenate([[0], last[:-1] + 1])
+    size = last - start + 1
+    out = np.zeros(len(last), np.int64)
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        out[some] |= (raw[start[some] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def _sized(sizes: np.ndarray, body: bytes) -> bytes:
+    head = packed(sizes)
+    return len(head).to_bytes(4, "little") + head + body
+
+
+def _apart(data: bytes) -> tuple[np.ndarray, bytes]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    return unpacked(data[4:at]), data[at:]
 
 
 # encoding ----------------------------------------------------------------------------------------
@@ -124,7 +149,8 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
         counts: Counter[str] = Counter()
         for batch in sliced(batches):
             for text in texts_of(batch.column(0)):
-                counts.update(words_of(text, special))
+                for piece in segments(text, special):
+                    counts.update(words_of(piece, special))
             least = 2
             while len(counts) > COUNTED:  # the rarest go, so that memory stays bounded
                 counts = Counter({w: n for w, n in counts.items() if n >= least})
@@ -143,119 +169,149 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
 _LAST = 2**31 - 1
 
 
-Finish = Callable[[list, list[np.ndarray]], pa.RecordBatch]
+def segments(text: str, special: list[str]) -> Iterator[str]:
+    """A text in pieces that are split into words apart from one another: cut where a word begins, but not inside special tokens."""
+    if len(text) <= SEGMENT_CHARS or any(not _WORD.fullmatch(t) for t in special):
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        m = _CUT.search(text, at + SEGMENT_CHARS) if at + SEGMENT_CHARS < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
 
+#: Makes columns of documents, the places where their ids end, and all ids.
+Finish = Callable[[list, np.ndarray, np.ndarray], pa.RecordBatch]
 
-def _as_arrays(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
+
+def _as_arrays(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))], ["doc_id", "ids"])
+
+
+_SPLIT = "chunk long, part int, docs array<long>, sizes binary, data binary"
+_SPLIT_TYPES = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary())])
 
 
 def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", finish: Finish = _as_arrays, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids) for every row of ``df``: the ids that the tokenizer gives for the whole text, without special tokens added.
 
-    A null text counts as empty and has no ids; ids of documents may be null or repeat; an empty table gives an empty result; other columns are
-    ignored; ``finish`` makes other columns of the ids where they are put together; special tokens inside a text have their own ids. ``df`` is read twice and must give its rows in the same order again, as tables on files
-    do. Neither a text nor a word is cut.
+    A null text counts as empty and has no ids; ids of documents may be null or repeat, and repeated rows each get their row; an empty table gives an
+    empty result; other columns, whatever their names, are ignored; ``finish`` makes other columns of the ids where they are put together; special tokens
+    inside a text have their own ids. Neither a text nor a word is cut: a long text is split at words, and a long word stays whole.
+
+    Texts are split once, and what they are split into is written to the shared folder; so a lost executor can't bring ids to other rows.
     """
     spark = df.sparkSession
     special = special_tokens(spec)
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hot = hot_words(df.select(F.col(text_col).cast("string").alias("text")), spec)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hot = hot_words(rows.select("text"), spec)
     ready = _encode(tokenizer_of(spec), hot)  # once, here: HOT words at most
-    many, flat = np.array([len(x) for x in ready] + [0], np.int64), np.fromiter(chain.from_iterable(ready), np.int32)
+    many, flat = np.array([len(x) for x in ready], np.int64), np.fromiter(chain.from_iterable(ready), np.int32)
     del ready
     shared = spark.sparkContext.broadcast((spec, hot, many, flat))
-    none, width = len(hot), 2 if len(pieces_of(spec)) <= 1 << 16 else 4
-    ranks: dict[str, int] = {}
-
-    def ranked() -> dict[str, int]:
-        if not ranks:
-            ranks.update((w, i) for i, w in enumerate(shared.value[1]))
-        return ranks
-
-    def told(text: str) -> tuple[list[int], list[str]]:
-        """Ranks of a text's words, none where a word isn't hot, and those words; a word that isn't hot goes by its parts."""
-        get, words = ranked().get, words_of(text, special)
-        found = [get(w, none) for w in words]
-        if none not in found:
-            return found, []
-        out, rare = [], []
-        for word, rank in zip(words, found):
-            if rank != none:
-                out.append(rank)
-                continue
-            for part in parts_of(word):
-                rank = get(part, none)
-                out.append(rank)
-                if rank == none:
-                    rare.append(part)
-        return out, rare
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text, the ranks of its words."""
-        for batch in sliced(batches):
-            data = [packed(np.array(told(t)[0], np.int64)) for t in texts_of(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, _LAST, np.int32)), batch.column(1), pa.array(data, pa.binary())], ["row", "place", "doc_id", "data"])
+    n = shuffle_partitions(spark)
+    none, parts, code = len(hot), PARTS * n, "H" if len(pieces_of(spec)) <= 1 << 16 else "I"
+    ranks_of: dict[str, int] = {}
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk of texts, a record with the ranks of its words, and one for each part with the words that aren't hot, each once."""
+        if not ranks_of:
+            ranks_of.update((w, i) for i, w in enumerate(shared.value[1]))
+        get, number = ranks_of.get, TaskContext.get().partitionId() << 32
+        docs: list = []
+        sizes: list[int] = []
+        ranks: list[np.ndarray] = []
+        other: dict[str, int] = {}  # words that aren't hot, numbered on from the hot ones
+        told: dict[str, list[int]] = {}
+        held = 0
+
+        def told_of(word: str) -> list[int]:
+            found = told[word] = [other.setdefault(p, none + len(other)) if (r := get(p)) is None else r for p in parts_of(word)]
+            return found
+
+        def closed() -> pa.RecordBatch:
+            words = list(other)
+            part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            rank = np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
+            rank = np.concatenate([np.arange(none), none + place])[rank]
+            cuts = [*np.flatnonzero(np.diff(part[order], prepend=-1)).tolist(), len(words)]
+            asked = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = [words[i] for i in order[a:b].tolist()]
+                asked.append({"chunk": number, "part": int(part[order[a]]), "data": _sized(np.fromiter(map(len, own), np.int64, len(own)), "".join(own).encode())})
+            return pa.RecordBatch.from_pylist([{"chunk": number, "part": _LAST, "docs": docs, "sizes": packed(np.array(sizes, np.int64)), "data": packed(rank)}, *asked], _SPLIT_TYPES)
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Row, place and word of each word that isn't hot."""
         for batch in sliced(batches):
-            found = [told(t)[1] for t in texts_of(batch.column(2))]
-            sizes = [len(f) for f in found]
-            row = np.repeat(batch.column(0).to_numpy(), sizes)
-            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(list(chain.from_iterable(found)), pa.string())], ["row", "place", "word"])
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                size = 0
+                for piece in segments(text, special):
+                    words = words_of(piece, special)
+                    found = [get(w) for w in words]
+                    if None in found:
+                        found = list(chain.from_iterable([r] if r is not None else told.get(w) or told_of(w) for r, w in zip(found, words)))
+                    ranks.append(np.array(found, np.int64))
+                    size += len(found)
+                docs.append(doc)
+                sizes.append(size)
+                held += len(text)
+                if held >= CHUNK_CHARS:
+                    yield closed()
+                    number += 1
+                    held = 0
+                    for kept in (docs, sizes, ranks, other, told):
+                        kept.clear()
+        if docs:
+            yield closed()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words in order: each distinct word is encoded once."""
-        tokenizer, last, ids = tokenizer_of(shared.value[0]), None, b""
-        code = "H" if width == 2 else "I"
-        as_bytes = lambda x: array(code, x).tobytes()
-        for batch in batches:
-            words = batch.column(2).to_pylist()
-            fresh = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            made = iter(_encode(tokenizer, fresh))
-            data = []
-            for word in words:
-                if word != last:
-                    last, ids = word, as_bytes(next(made))
-                data.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(len(words), pa.int64()), pa.array(data, pa.binary())], ["row", "place", "doc_id", "data"])
+        """Parts in order: each distinct word of a part is encoded once, and every chunk that asks gets its ids."""
+        tokenizer, now = tokenizer_of(shared.value[0]), -1
+        known: dict[str, array] = {}
+        for batch in sliced(batches, 64):
+            out = []
+            for part, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if part != now or len(known) > KNOWN:
+                    known.clear()
+                    now = part
+                sizes, body = _apart(data)
+                text, ends = body.decode(), np.cumsum(sizes).tolist()
+                words = [text[a:b] for a, b in zip([0, *ends], ends)]
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, (array(code, x) for x in _encode(tokenizer, fresh))))
+                found = [known[w] for w in words]
+                out.append(_sized(np.fromiter(map(len, found), np.int64, len(found)), b"".join(x.tobytes() for x in found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "part", "data"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order, each with its other words by place and its ranks last."""
-        _, _, size, flat = shared.value
-        start = np.cumsum(size) - size
-        found: list[bytes] = []
-        for batch in sliced(batches, 20_000):
-            docs, all_ids = [], []
-            for place, doc, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if place != _LAST:
-                    found.append(data)
+        """Chunks in order, each with the ids of its other words by part and its ranks last."""
+        _, _, hot_size, hot_flat = shared.value
+        size, flat = [hot_size], [hot_flat]
+        for batch in sliced(batches, 32):
+            for part, docs, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                if part != _LAST:
+                    own, body = _apart(data)
+                    size.append(own)
+                    flat.append(np.frombuffer(body, "<u2" if code == "H" else "<u4").astype(np.int32))
                     continue
+                each, ids = np.concatenate(size), np.concatenate(flat)
+                size, flat = [hot_size], [hot_flat]
                 rank = unpacked(data)
-                missing = rank == none
-                own = np.fromiter(map(len, found), np.int64, len(found)) // width
-                n = size[rank]
-                n[missing] = own
-                end = np.cumsum(n)
-                ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
-                for some, source, at in ((~missing, flat, start[rank[~missing]]), (missing, np.frombuffer(b"".join(found), f"u{width}"), np.cumsum(own) - own)):
-                    many = n[some]
-                    inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                    ids[np.repeat(end[some] - many, many) + inside] = source[np.repeat(at, many) + inside]
-                found = []
-                docs.append(doc)
-                all_ids.append(ids)
-            if docs:
-                yield finish(docs, all_ids)
+                n = each[rank]
+                ends = np.cumsum(n)
+                before = np.concatenate([[0], ends])[:-1]
+                whole = ids[np.repeat((np.cumsum(each) - each)[rank] - before, n) + np.arange(int(n.sum()))]
+                yield finish(docs, np.concatenate([[0], ends])[np.cumsum(unpacked(sizes))], whole)
 
-    n = shuffle_partitions(spark)
-    parts = "row long, place int, doc_id long, data binary"
-    rare = rows.mapInArrow(others, "row long, place int, word string").repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, parts)
-    both = rows.mapInArrow(placed, parts).unionByName(rare)
-    return both.repartition(n, "row").sortWithinPartitions("row", "place").mapInArrow(joined, schema)
+    table = written(rows.mapInArrow(split, _SPLIT), "words")
+    asked = table.where(F.col("part") < _LAST).select("chunk", "part", "data").repartition(n, "part").sortWithinPartitions("part").mapInArrow(encoded, "chunk long, part int, data binary")
+    both = table.where(F.col("part") == _LAST).unionByName(asked, allowMissingColumns=True)
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(joined, schema)
 
 
 # decoding ----------------------------------------------------------------------------------------
@@ -271,17 +327,28 @@ def pieces_of(spec: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
 
 
+def _joined_by_id(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For runs of ids that end at ``ends``, the values of their ids one after the other: a join of ids with a table whose row number is the id."""
+    found = table.take(pa.array(ids))
+    places = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+    data, at = memoryview(found.buffers()[2] or b""), places[np.concatenate([[0], ends]).astype(np.int64)].tolist()
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+
+
 def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of its ids, special tokens included. Null ids give the empty text; bytes that aren't UTF-8 become U+FFFD."""
+    """``df`` with the text of its ids, special tokens included. Null ids give the empty text; an id that is none of the vocabulary gives nothing; bytes that aren't UTF-8 become U+FFFD."""
     names = df.columns
     at = names.index(ids_col)
     shared = df.sparkSession.sparkContext.broadcast(pieces_of(spec))
     schema = ", ".join(f"_c{i} {t}" for i, (_, t) in enumerate(df.dtypes)) + ", _out string"
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
+        table = pa.array([*shared.value, b""], pa.large_binary())
         for batch in sliced(batches):
-            texts = [b"".join(map(piece, ids or ())).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
+            lists = [np.array([i for i in x or () if i is not None], np.int64) for x in batch.column(at).to_pylist()]
+            ids = np.concatenate([np.zeros(0, np.int64), *lists])
+            ids[(ids < 0) | (ids >= len(table) - 1)] = len(table) - 1
+            texts = [t.decode("utf-8", "replace") for t in _joined_by_id(table, ids, np.cumsum([len(x) for x in lists]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*(f"_c{i}" for i in range(len(names))), "_out"])
 
     return df.toDF(*(f"_c{i}" for i in range(len(names)))).mapInArrow(over, schema).toDF(*names, out_col)
@@ -290,12 +357,13 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decod
 def digests(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from those ids through the piece table."""
     shared = df.sparkSession.sparkContext.broadcast(pieces_of(spec))
-
-    def digest(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-        pieces = shared.value
-        plain = [x.tolist() for x in ids]
-        one = [sha256(",".join(map(str, x)).encode()).hexdigest() for x in plain]
-        two = [sha256(b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace").encode()).hexdigest() for x in plain]
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) for x in plain], pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    tables: list[pa.Array] = []
+
+    def digest(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        if not tables:
+            tables.extend((pa.array(shared.value, pa.large_binary()), pa.array([b"%d," % i for i in range(len(shared.value))], pa.large_binary())))
+        one = [sha256(x[:-1]).hexdigest() for x in _joined_by_id(tables[1], ids, ends)]
+        two = [sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in _joined_by_id(tables[0], ids, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encode(df, spec, id_col, text_col, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
