@@ -169,14 +169,14 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
 _LAST = 2**31 - 1
 
 
-def segments(text: str, special: list[str]) -> Iterator[str]:
+def segments(text: str, special: list[str], most: int = SEGMENT_CHARS) -> Iterator[str]:
     """A text in pieces that are split into words apart from one another: cut where a word begins, but not inside special tokens."""
-    if len(text) <= SEGMENT_CHARS or any(not _WORD.fullmatch(t) for t in special):
+    if len(text) <= most or any(not _WORD.fullmatch(t) for t in special):
         yield text
         return
     at = 0
     while at < len(text):
-        m = _CUT.search(text, at + SEGMENT_CHARS) if at + SEGMENT_CHARS < len(text) else None
+        m = _CUT.search(text, at + most) if at + most < len(text) else None
         end = m.start() if m else len(text)
         yield text[at:end]
         at = end
@@ -213,6 +213,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     del ready
     shared = spark.sparkContext.broadcast((spec, hot, many, flat))
     n = shuffle_partitions(spark)
+    chunk_chars, segment_chars = CHUNK_CHARS, SEGMENT_CHARS
     none, parts, code = len(hot), PARTS * n, "H" if len(pieces_of(spec)) <= 1 << 16 else "I"
     ranks_of: dict[str, int] = {}
 
@@ -250,7 +251,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
         for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 size = 0
-                for piece in segments(text, special):
+                for piece in segments(text, special, segment_chars):
                     words = words_of(piece, special)
                     found = [get(w) for w in words]
                     if None in found:
@@ -260,7 +261,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                 docs.append(doc)
                 sizes.append(size)
                 held += len(text)
-                if held >= CHUNK_CHARS:
+                if held >= chunk_chars:
                     yield closed()
                     number += 1
                     held = 0

@@ -24,6 +24,8 @@ SAMPLE = 8192
 MIN_TEXTS = 4
 #: What a share counts, against the presence of a word.
 SHARE_SCALE = 20.0
+#: Rows of the sample that are multiplied at once.
+BLOCK_ROWS = 512
 
 _WORDS = 1 << WORD_BITS
 _TRIPLES = 1 << TRIPLE_BITS
@@ -67,6 +69,15 @@ class Sample:
     def __len__(self) -> int:
         return len(self.labels)
 
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum of each row, a block of rows at a time."""
+        out = np.zeros(len(self))
+        for at in range(0, len(self), BLOCK_ROWS):
+            some = self.starts[at : at + BLOCK_ROWS + 1]
+            entries = slice(int(some[0]), int(some[-1]))
+            out[at : at + len(some) - 1] = np.bincount(np.repeat(np.arange(len(some) - 1), np.diff(some)), weights[self.columns[entries]] * self.values[entries], len(some) - 1)
+        return out
+
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> Sample:
     """Features of about ``size`` labelled texts. ``labels`` has the columns id and y, one row for each id.
@@ -104,10 +115,22 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, si
             values = pa.array([v[h] for (_, v), h in zip(lists, held)], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], columns, values], ["id", "y", "fold", "columns", "vals"])
 
-    table = found.mapInArrow(thinned, schema).toArrow().sort_by("id").combine_chunks()
-    flat = lambda name: np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks] or [np.zeros(0)])
-    sizes = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in table["columns"].chunks] or [np.zeros(0)])
-    return Sample(table["y"].to_numpy(), table["fold"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("columns").astype(np.int32, copy=False), flat("vals").astype(np.float32, copy=False))
+    table = found.mapInArrow(thinned, schema).orderBy("id", "y", "fold").drop("id").toArrow()
+    labels_of, fold = table["y"].to_numpy(), table["fold"].to_numpy()
+    starts = np.concatenate([[0], *(c.value_lengths().to_numpy(zero_copy_only=False) for c in table["columns"].chunks)]).cumsum().astype(np.int64)
+
+    def flat(name: str, kind: type) -> np.ndarray:
+        """One column's entries; its table is let go on the way, so that the driver holds one column twice and no more."""
+        nonlocal table
+        out, at = np.empty(int(starts[-1]), kind), 0
+        for chunk in table[name].chunks:
+            part = chunk.flatten().to_numpy(zero_copy_only=False)
+            out[at : at + len(part)] = part
+            at += len(part)
+        table = table.drop_columns([name])
+        return out
+
+    return Sample(labels_of, fold, starts, flat("columns", np.int32), flat("vals", np.float32))
 
 
 #: First and second derivatives of the mean loss by each row's score.
@@ -115,28 +138,52 @@ Loss = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 class Sparse:
-    """The sampled rows as a matrix over the columns that enough texts have."""
+    """The sampled rows as a matrix over the columns that enough texts have; the sample's own arrays, a block of rows at a time."""
 
     def __init__(self, sample: Sample, rows: np.ndarray) -> None:
-        row = np.repeat(np.where(rows, np.cumsum(rows) - 1, -1).astype(np.int32), np.diff(sample.starts))
-        texts = np.bincount(sample.columns[row >= 0], minlength=WIDTH)
-        held = np.flatnonzero((texts[sample.columns] >= MIN_TEXTS) & (row >= 0))
-        self.used = np.flatnonzero(texts >= MIN_TEXTS)
-        self.row, self.value = row[held], sample.values[held]
-        self.column = (np.cumsum(texts >= MIN_TEXTS) - 1).astype(np.int32)[sample.columns[held]]
         self.rows = int(rows.sum())
+        self.blocks = []  # rows that are wanted, as slices of the sample: first place, sizes, and which of the entries count
+        texts = np.zeros(WIDTH, np.int64)
+        for at in range(0, len(rows), BLOCK_ROWS):
+            wanted = rows[at : at + BLOCK_ROWS]
+            sizes = np.diff(sample.starts[at : at + BLOCK_ROWS + 1])
+            held = np.repeat(wanted, sizes)
+            start, end = int(sample.starts[at]), int(sample.starts[min(at + BLOCK_ROWS, len(rows))])
+            self.blocks.append((start, end, sizes[wanted], None if wanted.all() else held))
+            texts += np.bincount(sample.columns[start:end][held], minlength=WIDTH)
+        self.used = np.flatnonzero(texts >= MIN_TEXTS)
+        place = np.full(WIDTH, len(self.used), np.int32)  # one more, of weight 0, for all others
+        place[self.used] = np.arange(len(self.used))
+        self.column, self.value = place[sample.columns], sample.values
+
+    def _blocks(self):
+        at = 0
+        for start, end, sizes, held in self.blocks:
+            column, value = self.column[start:end], self.value[start:end]
+            if held is not None:
+                column, value = column[held], value[held]
+            yield at, np.repeat(np.arange(len(sizes)), sizes), len(sizes), column, value
+            at += len(sizes)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.column], self.rows)
+        w, out = np.append(w, 0.0), np.zeros(self.rows)
+        for at, row, n, column, value in self._blocks():
+            out[at : at + n] = np.bincount(row, value * w[column], n)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * g[self.row], len(self.used))
+        out = np.zeros(len(self.used) + 1)
+        for at, row, _, column, value in self._blocks():
+            out += np.bincount(column, value * g[at + row], len(out))
+        return out[:-1]
 
     def table(self, columns: np.ndarray) -> np.ndarray:
         """Some of the columns in full; a row for each text."""
-        at, held = np.cumsum(columns) - 1, columns[self.column]
+        place = np.append(np.where(columns, np.cumsum(columns) - 1, -1), -1)
         out = np.zeros((self.rows, int(columns.sum())))
-        out[self.row[held], at[self.column[held]]] = self.value[held]
+        for at, row, _, column, value in self._blocks():
+            some = np.flatnonzero(place[column] >= 0)
+            out[at + row[some], place[column[some]]] = value[some]
         return out
 
     def steepest(self) -> float:

@@ -27,6 +27,8 @@ from .wordtable import counted, heaviest
 
 #: Words with counts that go to every executor, and those of them that are symbols: bounds, not tuned to data.
 HOT, SYMBOLS = 131_072, 16_384
+#: A symbol of its own needs so many occurrences; rarer words leave their counts to classes, so that these say how often such words come.
+SYMBOL_COUNT = 3
 CLASSES, SUFFIX = 1024, 3
 STATES, PASSES = 8, 5
 #: Weight, in tokens, of the corpus distribution in each state's emissions.
@@ -96,7 +98,7 @@ def build_vocabulary(training: DataFrame) -> Vocabulary:
     divisor = tokens + 0.5 * (distinct + 1)
 
     hot = sorted(((r.word.encode(), r.n) for r in heaviest(counts, HOT).collect()), key=lambda x: (-x[1], x[0]))
-    layout = Layout(min(SYMBOLS, len(hot)))
+    layout = Layout(min(SYMBOLS, sum(n >= SYMBOL_COUNT for _, n in hot)))
     first_class = layout.words + 1
     kinds, sums = np.zeros(layout.classes), np.zeros(layout.classes)
     suffix = F.crc32(F.right(F.col("word"), F.lit(SUFFIX)).cast("binary")) % layout.classes

@@ -78,7 +78,7 @@ def fit(sample: Sample, grades: int = GRADES, l1: float = L1) -> CumulativeLink:
         return (1 - upper - lower) / x.rows, (upper * (1 - upper) + lower * (1 - lower)) / x.rows
 
     weights = fit_relaxed(x, loss, 0.5, l1)
-    value = np.add.reduceat(np.append(weights[sample.columns] * sample.values, 0.0), sample.starts[:-1]) * (np.diff(sample.starts) > 0)
+    value = sample.scores(weights)
     return CumulativeLink(weights, *_calibrated(t[0], value[~train], y[~train]))
 
 

@@ -118,8 +118,7 @@ def fit(sample: Sample, y: np.ndarray, l1: float = L1) -> Regression:
         return (p - target) / x.rows, p * (1 - p) / x.rows
 
     weights = fit_relaxed(x, loss, 0.25, l1)
-    starts = sample.starts
-    all_scores = np.add.reduceat(np.append(weights[sample.columns] * sample.values, 0.0), starts[:-1]) * (np.diff(starts) > 0) if len(sample) else np.zeros(0)
+    all_scores = sample.scores(weights)
     a, b = _line(all_scores[~train], y[~train])
     return Regression(weights, a, b)
 
