@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL, same_rows
-from tidemark.llm import bpe, chat, components, hmm, mixing, ordinal, pages, pii, queries, quality, simhash, spotsigs
+from tidemark.llm import bpe, chat, components, hmm, mixing, ordinal, pii, queries, quality, simhash, spotsigs
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, fp string, row int, size string, conv string"
 LONG = "the quick brown fox jumps over the lazy dog " * 3000
@@ -253,16 +253,6 @@ def test_decoding_joins_ids_with_pieces(spark):
     assert got == {1: "naïve 字 <|endoftext|>x", 2: "", 3: "", 4: bpe.pieces_of(spec)[ids[0]].decode()}
 
 
-def test_pages(spark):
-    frame = "<html><body><div>Site menu</div><div>%s</div><div>All rights</div>"
-    rows = [(i, f"http://h.com/a/{i}", frame % f"Text {i}") for i in range(6)] + [(7, "http://other.com/", frame % "Lone"), (8, None, None), (9, "http://h.com/a/9", ""), (None, "x", "<article>y</article>"), (7, "http://other.com/", frame % "Lone")]
-    got = [tuple(r) for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))).collect()]
-    assert len(got) == len(rows)
-    by = {r[0]: r for r in got}
-    assert sum(by[i][2] == f"Text {i}" for i in range(6)) >= 4 and by[7][2].split("\n\n") == ["Site menu", "Lone", "All rights"] and by[8] == (8, None, "") and by[None][2] == "y"
-    assert pages.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
 def test_personal_data(odd, none):
     got = {r.doc_id: r for r in pii.found(odd).collect()}
     assert (got[9].n_email, got[9].n_ip, got[9].spans) == (1, 1, "email:5:13,ip:14:22") and got[4].spans == ""

@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` don't lie above a value; in two steps, so that not all of them are looked at for each row."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= value))
+    block = below(F.lit(cuts[step - 1 :: step])) * step
+    return (block + below(F.slice(F.lit(cuts), block + 1, F.lit(step)))).cast("int")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -60,7 +60,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extracted(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    found = pages.extracted(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_differenced", "n_marked")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import bucket_of, cut, shuffle_partitions
 
 # Very common words of English, German, French and Spanish.
 ANCHORS = (
@@ -98,13 +98,7 @@ def _dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` with a column bucket that rises with ``key``: about equal shares, cut at approximate quantiles."""
     shares = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.agg(F.percentile_approx(key, shares, 20 * buckets)).first()[0] or [])) if shares else []
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = cuts[step - 1 :: step]
-    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(key)))
-    if not cuts:
-        return df.withColumn("bucket", F.lit(0))
-    block = below(F.lit(coarse)) * step
-    return df.withColumn("bucket", (block + below(F.slice(F.lit(cuts), block + 1, F.lit(step)))).cast("int"))
+    return df.withColumn("bucket", bucket_of(F.col(key), cuts))
 
 
 def with_next(df: DataFrame, key: str, text: str, derived: Column, name: str) -> DataFrame:
