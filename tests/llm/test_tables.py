@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tests.conftest import SMALL, same_rows
 from tidemark.llm import bpe, chat, components, hmm, mixing, ordinal, pii, queries, quality, simhash, spotsigs
 
@@ -85,13 +84,6 @@ def test_crowded_anchors_are_compared_in_blocks(spark, monkeypatch):
     assert dict(components.connected_components(simhash.links(fps)).collect()) == whole
 
 
-def test_one_document_of_each_group_stays(odd, docs):
-    kept = simhash.deduplicated(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({r.component_id for r in simhash.near_duplicates(odd.where('doc_id is not null')).collect()}) and kept.where("doc_id is null").count() == 2
-    groups = simhash.near_duplicates(docs)
-    assert simhash.deduplicated(docs).count() == groups.select("component_id").distinct().count()
-
-
 def test_edited_fingerprints(spark, odd, none):
     rows = sorted(((r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     wanted = Counter()
@@ -261,15 +253,3 @@ def test_personal_data(odd, none):
     row = clean.where("doc_id = 9").first()
     assert row.text == "mail [EMAIL] [IP]\n\nx" and row.n_chars == len(row.text) and clean.where("text is null").count() == 2
     assert pii.found(none).count() == 0
-
-
-def test_pipeline_stages(spark, docs, labels):
-    kept = docs
-    for (name, stage), wanted in zip(corpus_pipeline.STAGES[:4], (lambda d: quality.filtered(d, labels), simhash.deduplicated, pii.redacted, mixing.repeated)):
-        out = stage(spark, kept, SMALL)
-        assert out.columns == docs.columns, name
-        assert sorted(map(repr, out.collect())) == sorted(map(repr, wanted(kept).collect())), name
-        kept = out.cache()
-    last = corpus_pipeline.run(spark, SMALL)
-    assert last.count() == kept.count() and last.where("n_tokens <> size(ids)").count() == 0
-    assert sorted(r.decoded for r in last.collect()) == sorted(r.text for r in kept.collect())

@@ -6,7 +6,9 @@ import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,21 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def shingle_hashes(text: bytes, shingle_words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of so many words of a UTF-8 text, repeats included, in lower case and joined by a space, a block at a time.
+
+    A text with fewer words is one run; a text without words has none.
+    """
+    words = text.lower().split()
+    if not words:
+        return
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    del words
+    starts, last = np.concatenate([[0], ends[:-1] + 1]), ends[min(shingle_words, len(ends)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, len(last), 65_536):
+        some = last[i : i + 65_536]
+        yield np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[i : i + 65_536].tolist(), some.tolist())), np.uint64, len(some))

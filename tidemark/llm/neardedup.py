@@ -1,10 +1,13 @@
-"""Near copies by the likeness of their words.
-
-Two texts are as like as the Jaccard similarity of their sets of shingles, runs of SHINGLE_WORDS words. Texts of equal sets form a
-class. Classes that agree in a band of min-hashes are candidates, and candidates are compared by their whole sets. Two
-classes of likeness s miss each other in all bands with probability (1 - s^ROWS)^BANDS, 7e-10 at THRESHOLD and less above it;
-nothing else is left to chance, and no bucket is capped. A bucket is compared with one of its classes at a
-time, so that a crowd of copies costs a pair for each class, and all pairs that are still open come last.
+"""SimHash near-dedup of a table: one row of each group of near copies stays.
+
+Texts with equal sets of shingles, runs of SHINGLE_WORDS words, form a class. Groups begin with operator 1: the classes' SimHash fingerprints
+are linked through anchor points where they differ in few bits. Bits see only the closest copies, though: at a Jaccard similarity of 0.8 over
+shingles two fingerprints differ in about 10 of 64 bits, and anchors for so wide a threshold would have every fingerprint copied to most of
+them. So the links between likenesses of THRESHOLD and what bits see come from min-hashes: classes that agree in a band of
+them are candidates, and candidates that aren't in one group already are compared by their whole sets. Two classes of likeness s miss each
+other in all bands with probability (1 - s^ROWS)^BANDS, 7e-10 at THRESHOLD and less above it; nothing else is left to chance, and no bucket is
+capped. A bucket is compared with one of its classes at a time, so that a crowd of copies costs a pair for each class, and all
+pairs that are still open come last.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, cut, written
+from .common import arrow_map, bytes_of, cut, shingle_hashes, written
 from .components import connected_components
+from .simhash import SEED, fingerprint_groups, fingerprint_of_hashes
 from .spotsigs import pruned_likeness
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: Bands, and min-hashes in each.
 BANDS, ROWS = 40, 4
-SEED = 42
 #: After so many rounds, or when so few pairs for each member of a bucket are open, all open pairs are compared. Only the cost depends on these figures.
 STAR_ROUNDS, OPEN_PAIRS = 6, 2
 
@@ -36,15 +39,7 @@ STAR_ROUNDS, OPEN_PAIRS = 6, 2
 
 def shingles_of(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted hashes of the shingles of a UTF-8 text; a text with too few words is one shingle, one without words has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    last = ends[min(shingle_words, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), np.uint64, len(last)))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle_words, SEED)]))
 
 
 @lru_cache(maxsize=1)
@@ -75,17 +70,19 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, class, bands) for every row of ``df``; a null text counts as empty."""
+    """(doc_id, mark, class, fp, bands) for every row of ``df``; a null text counts as empty. Of classes with several fingerprints, as texts may repeat their shingles, the least is taken."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        classes, bands = [], []
+        classes, prints, bands = [], [], []
         for text in bytes_of(batch.column(2)):
-            found = shingles_of(text)
+            blocks = list(shingle_hashes(text, SHINGLE_WORDS, SEED))
+            found = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
             classes.append(_class_of(found))
+            prints.append(fingerprint_of_hashes(blocks))
             bands.append(bands_of(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "class", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "class", "fp", "bands"])
 
-    return arrow_map(_named(df, id_col, text_col), over, "doc_id long, mark long, class long, bands array<long>")
+    return arrow_map(_named(df, id_col, text_col), over, "doc_id long, mark long, class long, fp long, bands array<long>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,11 +107,18 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(pruned_likeness(F.col("left"), F.col("right"), threshold) >= threshold).select("a", "b")
 
 
-def _roots(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, root) for the classes that copy one another; ``members`` has (bucket, class) of buckets with several classes."""
-    spark = members.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+def _seen_by_bits(classes: DataFrame) -> DataFrame:
+    """(a, b): links between classes whose fingerprints operator 1 puts into one group, each with the least class of it."""
+    rooted = classes.join(fingerprint_groups(classes.select("fp").distinct()), F.col("fp") == F.col("node"), "left").select("class", F.coalesce("root", "fp").alias("group"))
+    rooted = cut(rooted)
+    least = rooted.groupBy("group").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rooted.join(least, "group").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+
+
+def _roots(members: DataFrame, sets: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) for the classes that copy one another: by ``edges`` (a, b), or as members (bucket, class) of buckets with several classes."""
+    edges = cut(edges)
+    roots = connected_components(edges)
     for turn in range(STAR_ROUNDS + 1):
         rooted = cut(members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root")))
         sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("inside"))
@@ -141,19 +145,21 @@ def _roots(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df``, all columns, one for each group of near copies: the one with the smallest id.
 
-    Groups join texts by chains of pairs whose sets of shingles are alike to ``threshold`` (THRESHOLD or more) or equal. Rows are judged by their own
-    text, so rows that share an id don't share a fate; of rows in a group that share the smallest id and differ in text, the one whose text
-    has the least hash stays, and of rows that repeat it, one. A row without an id can't be named as a copy and stays.
+    Groups join texts by chains of pairs whose sets of shingles are alike to ``threshold`` (THRESHOLD or more) or equal, or whose fingerprints differ in
+    simhash.THRESHOLD bits or fewer. Null and empty texts, and texts without words, are one group. Rows are judged by their own text, so rows that share
+    an id don't share a fate; of rows in a group that share the smallest id and differ in text, the one whose text has the least hash stays, and of
+    rows that repeat it, one. A row without an id can't be named as a copy and stays. An empty table stays empty; other columns, whatever their
+    names, go with their rows; texts are taken whole, whatever their length.
     """
     rows = written(with_classes(df, id_col, text_col), "copies")
-    classes = rows.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"))
+    classes = rows.groupBy("class").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "mark")).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"))
     classes = cut(classes)
     entries = rows.select("class", F.explode("bands").alias("bucket")).distinct()
     several = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut(entries.join(several, "bucket").select("bucket", "class"))
     wanted = classes.join(members.select("class").distinct(), "class").select("any.doc_id", "any.mark")
     sets = written(_sets(df, wanted, id_col, text_col), "sets")
-    roots = _roots(members, sets, threshold)
+    roots = _roots(members, sets, _seen_by_bits(classes.select("class", "fp")), threshold)
     groups = classes.join(roots, classes["class"] == roots["node"], "left").select(F.coalesce("root", "class").alias("group"), "least")
     kept = cut(groups.groupBy("group").agg(F.min("least").alias("k")).where("k IS NOT NULL").select(F.col("k.doc_id").alias("_kept"), F.col("k.mark").alias("_mark")))
     twice = cut(rows.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("mark") == F.col("_mark"))).groupBy("_kept", "_mark").count().where("count > 1").select("_kept", "_mark"))

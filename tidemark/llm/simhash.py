@@ -10,16 +10,15 @@ threshold, and to compare the homes of each anchor with the copies that came to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, cut, shuffle_partitions
+from .common import arrow_map, bytes_of, cut, shingle_hashes, shuffle_partitions
 from .components import connected_components, contract
 
 SHINGLE_WORDS = 4
@@ -40,22 +39,18 @@ SURVEY = 16
 # fingerprints ------------------------------------------------------------------------------------
 
 
+def fingerprint_of_hashes(blocks: Iterable[np.ndarray]) -> int:
+    """The bits set in over half the hashes, as a signed number; 0 without hashes."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        total += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0]) if n else 0
+
+
 def fingerprint_of(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     """The 64-bit SimHash of a UTF-8 text, as a signed number; 0 for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    last = ends[min(shingle_words, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(last)
-    for i in range(0, n, 65_536):
-        hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[i : i + 65_536], last[i : i + 65_536])), np.uint64, len(last[i : i + 65_536]))
-        total += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+    return fingerprint_of_hashes(shingle_hashes(text, shingle_words, SEED))
 
 
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -242,6 +237,15 @@ def _merged(forest: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 # groups ------------------------------------------------------------------------------------------
 
 
+def fingerprint_groups(fps: DataFrame, threshold: int = THRESHOLD, errors: int | None = None) -> DataFrame:
+    """(node, root) for every fingerprint that links lead to another one: the members of a group with its least fingerprint, that one included.
+
+    ``fps`` holds distinct fingerprints in the column fp.
+    """
+    roots = connected_components(links(fps, threshold, errors))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, errors: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``df``.
 
@@ -253,26 +257,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = cut(with_fingerprints(df, id_col, text_col))
     fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    roots = connected_components(links(fps.select("fp"), threshold, errors))
-    member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    member = fingerprint_groups(fps.select("fp"), threshold, errors)
     inside = fps.join(member, fps.fp == member.node)
     least = inside.groupBy("root").agg(F.min("first_doc").alias("least_doc"))
     linked = member.join(least, "root").select(F.col("node").alias("fp"), "least_doc")
     whole = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("least_doc", "first_doc").alias("component_id")))  # so that a hot fingerprint's documents can be split in the last join
     return docs.join(whole, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, all columns, without those that near-copy a document of smaller id.
-
-    Of rows that repeat a kept id, one stays. A row without an id can't be named as a copy and stays.
-    """
-    groups = near_duplicates(df, id_col, text_col, threshold)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = df.join(gone, F.col(id_col) == gone["_gone"], "left_anti")
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone"))
-    twice = cut(twice)
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, F.col(id_col) == twice["_gone"], "left_anti")
-    return once.unionByName(left.join(twice, F.col(id_col) == twice["_gone"], "left_semi").dropDuplicates([id_col]))
