@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, sliced, texts_of, written
+from .common import cut, shared_dir, shuffle_partitions, sliced, texts_of
 from .wordtable import heaviest
 
 #: Words of the table that goes to every executor, and those that a task puts forward for it.
@@ -39,6 +40,8 @@ SPLIT_BELOW = 4
 CHUNK_CHARS, SEGMENT_CHARS = 1 << 22, 1 << 20
 #: Parts that other words are dealt to, for each shuffle partition; words of a part whose ids are kept at once.
 PARTS, KNOWN = 4, 500_000
+#: Spark allows so many buckets of a table.
+MOST_BUCKETS = 100_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{_SPACE}]?[^{_SPACE}]+")
@@ -125,14 +128,24 @@ def unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _large(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _sized(sizes: np.ndarray, body: bytes) -> bytes:
+    """Sizes and what they are the sizes of, compressed."""
     head = packed(sizes)
-    return len(head).to_bytes(4, "little") + head + body
+    return _small(len(head).to_bytes(8, "little") + head + body)
 
 
 def _apart(data: bytes) -> tuple[np.ndarray, bytes]:
-    at = 4 + int.from_bytes(data[:4], "little")
-    return unpacked(data[4:at]), data[at:]
+    whole = _large(data)
+    at = 8 + int.from_bytes(whole[:8], "little")
+    return unpacked(whole[8:at]), whole[at:]
 
 
 # encoding ----------------------------------------------------------------------------------------
@@ -191,8 +204,8 @@ def _as_arrays(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))], ["doc_id", "ids"])
 
 
-_SPLIT = "chunk long, part int, docs array<long>, sizes binary, data binary"
-_SPLIT_TYPES = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary())])
+_SPLIT = "task int, chunk int, part int, docs array<long>, sizes binary, data binary"
+_SPLIT_TYPES = pa.schema([("task", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary())])
 
 
 def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", finish: Finish = _as_arrays, schema: str = "doc_id long, ids array<int>") -> DataFrame:
@@ -202,7 +215,8 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     empty result; other columns, whatever their names, are ignored; ``finish`` makes other columns of the ids where they are put together; special tokens
     inside a text have their own ids. Neither a text nor a word is cut: a long text is split at words, and a long word stays whole.
 
-    Texts are split once, and what they are split into is written to the shared folder; so a lost executor can't bring ids to other rows.
+    Texts are split once, and what they are split into is written to the shared folder, in a table bucketed by the task that split them; so a lost executor
+    can't bring ids to other rows, and ranks aren't shuffled: only words that aren't hot, and their ids, move.
     """
     spark = df.sparkSession
     special = special_tokens(spec)
@@ -221,7 +235,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
         """Of each chunk of texts, a record with the ranks of its words, and one for each part with the words that aren't hot, each once."""
         if not ranks_of:
             ranks_of.update((w, i) for i, w in enumerate(shared.value[1]))
-        get, number = ranks_of.get, TaskContext.get().partitionId() << 32
+        get, task, number = ranks_of.get, TaskContext.get().partitionId(), 0
         docs: list = []
         sizes: list[int] = []
         ranks: list[np.ndarray] = []
@@ -245,8 +259,8 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             asked = []
             for a, b in zip(cuts, cuts[1:]):
                 own = [words[i] for i in order[a:b].tolist()]
-                asked.append({"chunk": number, "part": int(part[order[a]]), "data": _sized(np.fromiter(map(len, own), np.int64, len(own)), "".join(own).encode())})
-            return pa.RecordBatch.from_pylist([{"chunk": number, "part": _LAST, "docs": docs, "sizes": packed(np.array(sizes, np.int64)), "data": packed(rank)}, *asked], _SPLIT_TYPES)
+                asked.append({"task": task, "chunk": number, "part": int(part[order[a]]), "data": _sized(np.fromiter(map(len, own), np.int64, len(own)), "".join(own).encode())})
+            return pa.RecordBatch.from_pylist([{"task": task, "chunk": number, "part": _LAST, "docs": docs, "sizes": packed(np.array(sizes, np.int64)), "data": _small(packed(rank))}, *asked], _SPLIT_TYPES)
 
         for batch in sliced(batches):
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
@@ -276,7 +290,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
         known: dict[str, array] = {}
         for batch in sliced(batches, 64):
             out = []
-            for part, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for part, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if part != now or len(known) > KNOWN:
                     known.clear()
                     now = part
@@ -287,32 +301,39 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                 known.update(zip(fresh, (array(code, x) for x in _encode(tokenizer, fresh))))
                 found = [known[w] for w in words]
                 out.append(_sized(np.fromiter(map(len, found), np.int64, len(found)), b"".join(x.tobytes() for x in found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "part", "data"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["task", "chunk", "part", "data"])
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks in order, each with the ids of its other words by part and its ranks last."""
+    def joined(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """The chunks of one task with the ids of their other words."""
         _, _, hot_size, hot_flat = shared.value
-        size, flat = [hot_size], [hot_flat]
-        for batch in sliced(batches, 32):
-            for part, docs, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                if part != _LAST:
-                    own, body = _apart(data)
-                    size.append(own)
+        answers = answers.sort_by([("chunk", "ascending"), ("part", "ascending")])
+        found: dict[int, list[bytes]] = {}
+        for chunk, data in zip(answers["chunk"].to_pylist(), answers["data"].to_pylist()):
+            found.setdefault(chunk, []).append(data)
+        out = []
+        for batch in own.to_batches(max_chunksize=8):
+            for chunk, docs, sizes, data in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5))):
+                size, flat = [hot_size], [hot_flat]
+                for own_size, body in map(_apart, found.pop(chunk, ())):
+                    size.append(own_size)
                     flat.append(np.frombuffer(body, "<u2" if code == "H" else "<u4").astype(np.int32))
-                    continue
                 each, ids = np.concatenate(size), np.concatenate(flat)
-                size, flat = [hot_size], [hot_flat]
-                rank = unpacked(data)
+                rank = unpacked(_large(data))
                 n = each[rank]
-                ends = np.cumsum(n)
-                before = np.concatenate([[0], ends])[:-1]
-                whole = ids[np.repeat((np.cumsum(each) - each)[rank] - before, n) + np.arange(int(n.sum()))]
-                yield finish(docs, np.concatenate([[0], ends])[np.cumsum(unpacked(sizes))], whole)
-
-    table = written(rows.mapInArrow(split, _SPLIT), "words")
-    asked = table.where(F.col("part") < _LAST).select("chunk", "part", "data").repartition(n, "part").sortWithinPartitions("part").mapInArrow(encoded, "chunk long, part int, data binary")
-    both = table.where(F.col("part") == _LAST).unionByName(asked, allowMissingColumns=True)
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(joined, schema)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                whole = ids[np.repeat((np.cumsum(each) - each)[rank] - ends[:-1], n) + np.arange(int(ends[-1]))]
+                out.append(finish(docs, ends[np.cumsum(unpacked(sizes))], whole))
+        return pa.Table.from_batches(out, empty.schema)
+
+    name = f"tidemark_bpe_{uuid.uuid4().hex}"
+    buckets = min(n, MOST_BUCKETS)
+    texts = rows.mapInArrow(split, _SPLIT)
+    texts.write.format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/tidemark/{name}").option("compression", "none").bucketBy(buckets, "task").saveAsTable(name)
+    table = spark.table(name)
+    empty = finish([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    asked = table.where(F.col("part") < _LAST).select("task", "chunk", "part", "data").repartition(n, "part").sortWithinPartitions("part")
+    answers = asked.mapInArrow(encoded, "task int, chunk int, part int, data binary")
+    return table.where(F.col("part") == _LAST).groupBy("task").cogroup(answers.groupBy("task")).applyInArrow(joined, schema)
 
 
 # decoding ----------------------------------------------------------------------------------------
