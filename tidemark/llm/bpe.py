@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, shuffle_partitions, sliced, texts_of
+from .common import cut, shared_path, shuffle_partitions, sliced, texts_of
 from .wordtable import heaviest
 
 #: Words of the table that goes to every executor, and those that a task puts forward for it.
@@ -325,10 +324,11 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                 out.append(finish(docs, ends[np.cumsum(unpacked(sizes))], whole))
         return pa.Table.from_batches(out, empty.schema)
 
-    name = f"tidemark_bpe_{uuid.uuid4().hex}"
+    path = shared_path(spark, "bpe")
+    name = f"tidemark_{path.rpartition('/')[2].replace('-', '_')}"
     buckets = min(n, MOST_BUCKETS)
     texts = rows.mapInArrow(split, _SPLIT)
-    texts.write.format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/tidemark/{name}").option("compression", "none").bucketBy(buckets, "task").saveAsTable(name)
+    texts.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, "task").saveAsTable(name)
     table = spark.table(name)
     empty = finish([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     asked = table.where(F.col("part") < _LAST).select("task", "chunk", "part", "data").repartition(n, "part").sortWithinPartitions("part")

@@ -58,6 +58,11 @@ class Part:
     def accept(self, visitor: Flattener) -> None:
         getattr(visitor, f"visit_{self.kind}", visitor.visit_other)(self)
 
+    @staticmethod
+    def of(given: dict | None) -> list[Part]:
+        """The part that a row has; none for null. Null fields have their defaults, and a part without a kind is text."""
+        return [Part(**{"kind": "text"} | {k: v for k, v in given.items() if v is not None})] if given is not None else []
+
 
 @dataclass
 class Flattener:
@@ -77,17 +82,18 @@ class Flattener:
         self._attach(part, max(1, ceil(part.width / self.image_tile)) * max(1, ceil(part.height / self.image_tile)))
 
     def visit_audio(self, part: Part) -> None:
-        self._attach(part, max(1, ceil(part.seconds * self.audio_tokens_per_second)))
+        self._attach(part, max(1, ceil(max(0.0, part.seconds if part.seconds < 1e9 else 0.0) * self.audio_tokens_per_second)))
 
     def visit_document(self, part: Part) -> None:
         self._attach(part, max(1, part.pages) * self.document_tokens_per_page)
 
     def visit_other(self, part: Part) -> None:
-        raise ValueError(f"a part of kind {part.kind!r}: text, image, audio or document is expected")
+        """A part of a kind that isn't known keeps its place and is recorded under its own kind."""
+        self._attach(part, 1, "other")
 
-    def _attach(self, part: Part, tokens: int) -> None:
+    def _attach(self, part: Part, tokens: int, name: str = "") -> None:
         number = self.first + len(self.attachments)
-        self.out.append(f"<|{part.kind}:{number}|>")
+        self.out.append(f"<|{name or part.kind}:{number}|>")
         self.attachments.append({"number": number, "kind": part.kind, "ref": part.ref, "tokens": tokens})
 
 
@@ -116,7 +122,7 @@ class Piece:
 
 
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
-_ATTACHED = re.compile(r"<\|(?:image|audio|document):\d+\|>")
+_ATTACHED = re.compile(r"<\|(?:image|audio|document|other):\d+\|>")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -158,7 +164,7 @@ def format_conversations(
 
     Turns go by turn, then role and text (nulls first), so that ties and repeated rows keep a fixed order. Null roles and texts
     count as empty; rows with a null conv_id form one conversation of their own. ``parts_col`` names a column of type PARTS that is used
-    in place of the text where it isn't null. Partitions are sorted and streamed: a conversation of any length is never held whole, and its
+    in place of the text where it isn't null; null parts are left out, a part without a kind is text, and one of an unknown kind keeps its place as <|other:n|>. Partitions are sorted and streamed: a conversation of any length is never held whole, and its
     pieces come out in order. An empty table gives no piece. Other columns are ignored.
     """
     parts = F.col(parts_col).cast(PARTS) if parts_col else F.lit(None).cast(PARTS)
@@ -184,7 +190,7 @@ def format_conversations(
                     held += piece.n
                     piece, number = Piece(), number + 1
                 role = role or ""
-                content = [Part("text", text or "")] if given is None else [Part(**{k: v for k, v in p.items() if v is not None}) for p in given]
+                content = [Part("text", text or "")] if given is None else [x for p in given for x in Part.of(p)]
                 attached = piece.add(role, content, attached, role == loss_role)
                 if held > piece_chars or len(done) >= 5000:
                     yield pa.RecordBatch.from_pylist(done, _PIECE_TYPES)

@@ -200,19 +200,12 @@ def _grouped(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += len(rows)
 
 
-def forward(p: Parameters, symbols: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion over columns of symbols: log10 likelihoods, and with ``keep`` all vectors and scales.
-
-    Columns go from long to short, so at each step the first ``alive`` of them go on.
-    """
-    steps, texts = symbols.shape
-    alive = (symbols >= 0).sum(1)
-    total = np.zeros(texts)
-    vectors = np.zeros((steps, texts, len(p.start))) if keep else np.zeros(0)
-    scales = np.ones((steps, texts)) if keep else np.zeros(0)
-    state = np.zeros((texts, len(p.start)))
-    ones = np.ones(len(p.start))
-    for t in range(steps):
+def _forward(p: Parameters, symbols: np.ndarray, alive: np.ndarray, first: int, last: int, state: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps ``first`` to ``last`` of the scaled recursion, from ``state``, which is changed: log10 of the scales' products, and with ``keep`` all vectors and scales."""
+    total, ones = np.zeros(symbols.shape[1]), np.ones(len(p.start))
+    vectors = np.zeros((last - first, *state.shape)) if keep else np.zeros(0)
+    scales = np.ones((last - first, len(state))) if keep else np.zeros(0)
+    for t in range(first, last):
         n = alive[t]
         before = p.start if t == 0 else state[:n] @ p.move
         now = before * p.emit[symbols[t, :n]]
@@ -221,27 +214,48 @@ def forward(p: Parameters, symbols: np.ndarray, keep: bool = False) -> tuple[np.
         state[:n] = now
         total[:n] += np.log10(scale)
         if keep:
-            vectors[t, :n], scales[t, :n] = now, scale
+            vectors[t - first, :n], scales[t - first, :n] = now, scale
     return total, vectors, scales
 
 
-def expected(p: Parameters, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions for columns of symbols."""
-    _, ahead, scales = forward(p, symbols, keep=True)
+def forward(p: Parameters, symbols: np.ndarray) -> np.ndarray:
+    """Log10 likelihoods of columns of symbols by the scaled forward recursion.
+
+    Columns go from long to short, so at each step the first ``alive`` of them go on.
+    """
     steps, texts = symbols.shape
-    alive = (symbols >= 0).sum(1)
-    move = np.zeros_like(p.move)
-    back = np.ones((texts, len(p.start)))
-    for t in range(steps - 1, -1, -1):
-        n = alive[t]
-        if t + 1 < steps and (later := alive[t + 1]):
-            onward = p.emit[symbols[t + 1, :later]] * back[:later] / scales[t + 1, :later, None]
-            move += ahead[t, :later].T @ onward
-            back[:later] = onward @ p.move.T
-        ahead[t, :n] *= back[:n]
-    seen = np.flatnonzero(symbols.ravel() >= 0)
-    which, weight = symbols.ravel()[seen], np.ascontiguousarray(ahead.reshape(-1, len(p.start))[seen].T)
-    emit = np.stack([np.bincount(which, w, len(p.emit)) for w in weight], 1)
+    return _forward(p, symbols, (symbols >= 0).sum(1), 0, steps, np.zeros((texts, len(p.start))), False)[0]
+
+
+def expected(p: Parameters, symbols: np.ndarray, tokens: int = BATCH_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves and emissions for columns of symbols.
+
+    Vectors of so many ``tokens`` are held at once; those of a longer text are made again, from the state at the start of their block, on the way back.
+    """
+    steps, texts = symbols.shape
+    alive, states = (symbols >= 0).sum(1), len(p.start)
+    size = max(1, tokens // max(1, texts))
+    held, state = [], np.zeros((texts, states))
+    for first in range(0, steps, size):
+        held.append(state.copy())
+        _, ahead, scales = _forward(p, symbols, alive, first, min(steps, first + size), state, first + size >= steps)
+    move, emit, back = np.zeros_like(p.move), np.zeros((len(p.emit), states)), np.ones((texts, states))
+    onward = np.zeros((0, states))
+    for block in range(len(held) - 1, -1, -1):
+        first, last = block * size, min(steps, (block + 1) * size)
+        if last < steps:
+            _, ahead, scales = _forward(p, symbols, alive, first, last, held[block], True)
+        for t in range(last - 1, first - 1, -1):
+            n, later, own = alive[t], len(onward), ahead[t - first]
+            if later:
+                move += own[:later].T @ onward
+                back[:later] = onward @ p.move.T
+            own[:n] *= back[:n]
+            onward = p.emit[symbols[t, :n]] * back[:n] / scales[t - first, :n, None]
+        which = symbols[first:last].ravel()
+        seen = np.flatnonzero(which >= 0)
+        weight = np.ascontiguousarray(ahead.reshape(-1, states)[seen].T)
+        emit += np.stack([np.bincount(which[seen], w, len(p.emit)) for w in weight], 1)
     return ahead[0, : alive[0]].sum(0), move * p.move, emit
 
 
@@ -292,7 +306,7 @@ def likelihoods(encoded: DataFrame, p: Parameters) -> DataFrame:
         for batch in batches:
             found = np.zeros(batch.num_rows)
             for rows, symbols in _grouped(batch.column(7)):
-                found[rows] = forward(p, symbols)[0]
+                found[rows] = forward(p, symbols)
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(found)], [*batch.schema.names[:7], "symbols"])
 
     return encoded.select(*_ENCODED_TYPES.names[:8]).mapInArrow(over, ENCODED[: ENCODED.index("symbols")] + "symbols double")

@@ -123,10 +123,15 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``df``, all columns, each as often as the mix takes it. Texts aren't shuffled for this unless there are very many sources."""
+    """The rows of ``df``, all columns, each as often as the mix takes it, 0 to MOST times. Texts aren't shuffled for this unless there are very many sources.
+
+    Nulls, ties, repeated rows and empty tables as in mixed(); other columns, whatever their names, go with their rows.
+    """
     columns = df.columns
-    sized = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")).withColumn("h", hash_of(F.col("doc_id"))))
-    plan = thresholds(sized, cut(targets(sized))).select(F.col("source").alias("_plan_source"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
-    rows = df.withColumn("_h", hash_of(F.col(id_col))).join(_small(cut(plan)), _same(F.col(source_col).cast("string"), F.col("_plan_source")))
-    copies = F.least(F.col("_whole") + F.when(F.col("_h") < F.col("_below"), 1).otherwise(0), F.lit(MOST)).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in columns))
+    plain = df.toDF(*(f"_c{i}" for i in range(len(columns))))
+    doc, text, source = (F.col(f"_c{columns.index(c)}") for c in (id_col, text_col, source_col))
+    sized = cut(plain.select(doc.alias("doc_id"), source.cast("string").alias("source"), size_of(text).alias("size")).withColumn("h", hash_of(F.col("doc_id"))))
+    plan = thresholds(sized, cut(targets(sized))).select(F.col("source").alias("plan_source"), "whole", "below")
+    rows = plain.withColumn("h", hash_of(doc)).join(_small(cut(plan)), _same(source.cast("string"), F.col("plan_source")))
+    copies = F.least(F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0), F.lit(MOST)).cast("int")
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(f"_c{i}" for i in range(len(columns)))).toDF(*columns)

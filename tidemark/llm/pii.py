@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -214,6 +215,19 @@ def trained(size: int = 6000, seed: int = 11) -> Boosted:
 # detection ---------------------------------------------------------------------------------------
 
 
+def _joined_spans(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, overlapping ones as one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def all_spans(texts: list[str], trees: Boosted) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans, and all spans: base ones and those that the trees add."""
     bases, offered = [base_spans(t) for t in texts], [candidates(t) for t in texts]
@@ -224,11 +238,13 @@ def all_spans(texts: list[str], trees: Boosted) -> list[tuple[list[Span], list[S
         found = list(bases[i])
         own = sorted(zip(shares[at : at + len(offered[i])], offered[i]), key=lambda x: (-x[0], x[1][1], -x[1][2]))
         at += len(offered[i])
-        taken = sorted((a, b) for _, a, b in found)
+        starts, ends = _joined_spans(found)
         for share, (kind, a, b) in own:
-            if share >= THRESHOLDS[kind] and not any(s < b and a < e for s, e in taken):
+            k = bisect_left(starts, b)  # of the taken spans that begin before its end, the last one reaches furthest
+            if share >= THRESHOLDS[kind] and not (k and ends[k - 1] > a):
                 found.append((kind, a, b))
-                taken.append((a, b))
+                starts.insert(k, a)
+                ends.insert(k, b)
         out[i] = (bases[i], ordered(found))
     return out
 
@@ -264,7 +280,10 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redacted(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``df`` with personal data in its texts replaced, and ``chars_col``, where it is given and there, set to the new length. Null texts stay null."""
+    """``df`` with personal data in its texts replaced, and ``chars_col``, where it is given and there, set to the new length.
+
+    Null texts stay null; every row, repeated ones too, stays; an empty table stays empty; other columns, whatever their names, go with their rows; texts are read whole.
+    """
     names = df.columns
     at = names.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(trained())

@@ -183,7 +183,10 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules keep."""
+    """The rows of ``docs``, all columns, that the rules keep.
+
+    Null, empty and very short texts go; ids may be null or repeat, and equal texts share a verdict; an empty table stays empty; other columns, whatever their names, go with their rows.
+    """
     columns = docs.columns
     plain = docs.toDF(*(f"_d{i}" for i in range(len(columns))))
     at = {c: f"_d{i}" for i, c in enumerate(columns)}
