@@ -25,7 +25,7 @@ MIN_TEXTS = 4
 #: What a share counts, against the presence of a word.
 SHARE_SCALE = 20.0
 #: Rows of the sample that are multiplied at once.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 2048
 
 _WORDS = 1 << WORD_BITS
 _TRIPLES = 1 << TRIPLE_BITS
@@ -56,6 +56,11 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(columns), np.concatenate(values)
 
 
+def _row_sums(entries: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the entries of each row; rows begin at ``starts``, the last of which is the end."""
+    return np.add.reduceat(np.append(entries, 0.0), starts[:-1] - starts[0]) * (np.diff(starts) > 0)
+
+
 @dataclass
 class Sample:
     """Features of the sampled rows, and their labels, as compressed rows."""
@@ -75,7 +80,7 @@ class Sample:
         for at in range(0, len(self), BLOCK_ROWS):
             some = self.starts[at : at + BLOCK_ROWS + 1]
             entries = slice(int(some[0]), int(some[-1]))
-            out[at : at + len(some) - 1] = np.bincount(np.repeat(np.arange(len(some) - 1), np.diff(some)), weights[self.columns[entries]] * self.values[entries], len(some) - 1)
+            out[at : at + len(some) - 1] = _row_sums(weights[self.columns[entries]] * self.values[entries], some)
         return out
 
 
@@ -141,50 +146,48 @@ class Sparse:
     """The sampled rows as a matrix over the columns that enough texts have; the sample's own arrays, a block of rows at a time."""
 
     def __init__(self, sample: Sample, rows: np.ndarray) -> None:
-        self.rows = int(rows.sum())
-        self.blocks = []  # rows that are wanted, as slices of the sample: first place, sizes, and which of the entries count
+        self.wanted, self.rows, self.starts, self.value = rows, int(rows.sum()), sample.starts, sample.values
         texts = np.zeros(WIDTH, np.int64)
-        for at in range(0, len(rows), BLOCK_ROWS):
-            wanted = rows[at : at + BLOCK_ROWS]
-            sizes = np.diff(sample.starts[at : at + BLOCK_ROWS + 1])
-            held = np.repeat(wanted, sizes)
-            start, end = int(sample.starts[at]), int(sample.starts[min(at + BLOCK_ROWS, len(rows))])
-            self.blocks.append((start, end, sizes[wanted], None if wanted.all() else held))
-            texts += np.bincount(sample.columns[start:end][held], minlength=WIDTH)
+        for at, end, entries in self._blocks():
+            held = np.repeat(rows[at:end], np.diff(self.starts[at : end + 1]))
+            texts += np.bincount(sample.columns[entries][held], minlength=WIDTH)
         self.used = np.flatnonzero(texts >= MIN_TEXTS)
         place = np.full(WIDTH, len(self.used), np.int32)  # one more, of weight 0, for all others
         place[self.used] = np.arange(len(self.used))
-        self.column, self.value = place[sample.columns], sample.values
+        self.column = place[sample.columns]
 
-    def _blocks(self):
-        at = 0
-        for start, end, sizes, held in self.blocks:
-            column, value = self.column[start:end], self.value[start:end]
-            if held is not None:
-                column, value = column[held], value[held]
-            yield at, np.repeat(np.arange(len(sizes)), sizes), len(sizes), column, value
-            at += len(sizes)
+    def _blocks(self) -> Iterator[tuple[int, int, slice]]:
+        """First and last row of each block, and the places of its entries."""
+        for at in range(0, len(self.wanted), BLOCK_ROWS):
+            end = min(at + BLOCK_ROWS, len(self.wanted))
+            yield at, end, slice(int(self.starts[at]), int(self.starts[end]))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        w, out = np.append(w, 0.0), np.zeros(self.rows)
-        for at, row, n, column, value in self._blocks():
-            out[at : at + n] = np.bincount(row, value * w[column], n)
-        return out
+        w, out = np.append(w, 0.0), np.zeros(len(self.wanted))
+        for at, end, entries in self._blocks():
+            product = w[self.column[entries]]
+            product *= self.value[entries]
+            out[at:end] = _row_sums(product, self.starts[at : end + 1])
+        return out[self.wanted]
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.used) + 1)
-        for at, row, _, column, value in self._blocks():
-            out += np.bincount(column, value * g[at + row], len(out))
+        out, whole = np.zeros(len(self.used) + 1), np.zeros(len(self.wanted))
+        whole[self.wanted] = g
+        for at, end, entries in self._blocks():
+            share = np.repeat(whole[at:end], np.diff(self.starts[at : end + 1]))
+            share *= self.value[entries]
+            out += np.bincount(self.column[entries], share, len(out))
         return out[:-1]
 
     def table(self, columns: np.ndarray) -> np.ndarray:
         """Some of the columns in full; a row for each text."""
         place = np.append(np.where(columns, np.cumsum(columns) - 1, -1), -1)
-        out = np.zeros((self.rows, int(columns.sum())))
-        for at, row, _, column, value in self._blocks():
-            some = np.flatnonzero(place[column] >= 0)
-            out[at + row[some], place[column[some]]] = value[some]
-        return out
+        out = np.zeros((len(self.wanted), int(columns.sum())))
+        for at, end, entries in self._blocks():
+            column = place[self.column[entries]]
+            some = np.flatnonzero(column >= 0)
+            out[np.repeat(np.arange(at, end), np.diff(self.starts[at : end + 1]))[some], column[some]] = self.value[entries][some]
+        return out[self.wanted]
 
     def steepest(self) -> float:
         """About the largest eigenvalue of X'X."""
