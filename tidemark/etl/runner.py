@@ -7,17 +7,20 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dialect.text import statements
-from ..operators.merge import prune_to, range_overwrite, require_keys, resolve_keys, upsert_by
-from ..sources.state import StateStore
+from ..operators.merge import last_per_key, prune_to, range_overwrite, require_keys, resolve_keys, upsert_by
+from ..sources.state import Lease, StateStore
 from .variables import built_in, definitions, substitute
 
 MODES = ("OVERWRITE", "APPEND", "RANGE_OVERWRITE", "UPSERT")
 RESUMABLE = ("APPEND", "RANGE_OVERWRITE")
 KEY_LENGTH = 512
+#: A column of staged rows: their place in the query's result.
+ROW = "__row"
 
 
 class EtlError(ValueError):
@@ -123,21 +126,40 @@ def combined(task: EtlTask, target: DataFrame | None, source: DataFrame) -> Data
     return upsert_by(target, source, task.upsert_keys, task.order or source.columns)
 
 
+def recover(spark: SparkSession, table: str) -> None:
+    """Finish, or take back, a replacement that a crash left half done; nothing to do otherwise."""
+    draft, old = f"{table}__next", f"{table}__old"
+    if not spark.catalog.tableExists(old):
+        return
+    if not spark.catalog.tableExists(table):
+        # the old table steps aside only when the draft is complete
+        spark.sql(f"ALTER TABLE {draft if spark.catalog.tableExists(draft) else old} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
 def _replace(spark: SparkSession, df: DataFrame, table: str) -> None:
-    """Write a table that the rows themselves are read from: first beside it, then in its place."""
-    draft = f"{table}__next"
+    """Write a table that the rows themselves are read from: first beside it, then in its place. At any moment one of the two is there, whole; see recover()."""
+    draft, old = f"{table}__next", f"{table}__old"
     spark.sql(f"DROP TABLE IF EXISTS {draft}")
     df.write.saveAsTable(draft)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {draft} RENAME TO {table.rpartition('.')[2] if '.' not in table else table}")
+    if spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {draft} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
 
+def run(spark: SparkSession, task: EtlTask, now: datetime, state: StateStore | None = None, lease: Lease | None = None) -> EtlResult:
+    """Run a task against Spark's catalogue: variables, leading SQL, query, pruning, write, trailing SQL, checkpoint.
 
-def run(spark: SparkSession, task: EtlTask, now: datetime, state: StateStore | None = None) -> EtlResult:
-    """Run a task against Spark's catalogue: variables, leading SQL, query, pruning, write, trailing SQL, checkpoint."""
+    The query's rows are read once for the write; their number and the last resume key are taken on the way, from the rows that were written. A resumed
+    run adds rows and deletes none, as the first run deleted what its rows replace. Without an order the last of the query's rows with a key wins.
+    Under a lease, nothing is written once another holder has it.
+    """
     validate(task)
     task = resolved(task, now)
     mark = f"etl-{task.name}"
     last = (state.read(mark) or {}).get("last") if state and task.resume_key else None
+    recover(spark, task.target)
     if last is None and task.pre_sql:
         run_script(spark, task.pre_sql)
     source = source_of(spark, task.source_sql)
@@ -149,20 +171,47 @@ def run(spark: SparkSession, task: EtlTask, now: datetime, state: StateStore | N
         source = resumed(source, task.resume_key, last)
     there = spark.catalog.tableExists(task.target)
     target = spark.table(task.target) if there else None
-    kept = prune_to(source, target.columns, task.upsert_keys) if there else source
-    if not kept.columns:
+    columns = prune_to(source, target.columns, task.upsert_keys).columns if there else source.columns
+    if not columns:
         raise EtlError("the target has none of the columns")
-    rows = kept.count()
-    if there and task.mode == "APPEND":
-        aligned = target.limit(0).unionByName(kept, allowMissingColumns=True)
-        aligned.write.mode("append").insertInto(task.target)
+    if lease is not None:
+        lease.require()
+    last_read = None
+    if task.mode == "UPSERT":  # its rows are looked at twice, against the target and to be written: staged
+        staged = f"{task.target}__rows"
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        extra = [c for c in task.order if c.lower() not in {k.lower() for k in columns}]
+        source.select(*(F.col(f"`{c}`") for c in [*columns, *extra]), F.monotonically_increasing_id().alias(ROW)).write.saveAsTable(staged)
+        given, order = spark.table(staged), task.order or [ROW]
+        rows = given.count()
+        if there:
+            merged = upsert_by(target, given, task.upsert_keys, order)
+        else:
+            keys = resolve_keys(columns, task.upsert_keys)
+            merged = last_per_key(require_keys(given, keys), keys, order).select(*columns)
+        _replace(spark, merged, task.target)
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
     else:
-        _replace(spark, combined(task, target, kept), task.target)
+        read = Observation(f"etl {task.name}")
+        key = F.max(task.resume_key).cast("string") if task.resume_key else F.lit(None).cast("string")
+        kept = source.observe(read, F.count(F.lit(1)).alias("rows"), key.alias("last")).select(*(F.col(f"`{c}`") for c in columns))
+        if there and (task.mode == "APPEND" or last is not None):
+            target.limit(0).unionByName(kept, allowMissingColumns=True).write.mode("append").insertInto(task.target)
+        else:
+            _replace(spark, combined(task, target, kept), task.target)
+        rows, last_read = read.get["rows"], read.get["last"]
     if state and task.resume_key and rows:
-        state.write(mark, {"last": source.agg(F.max(task.resume_key)).first()[0]})
+        if lease is not None:
+            lease.require()
+        state.write(mark, {"last": _typed(last_read, source.schema[task.resume_key].dataType)})
     if task.post_sql:
         run_script(spark, task.post_sql)
-    return EtlResult(task.name, "SUCCESS", rows, [c for c in source.columns if c not in kept.columns])
+    return EtlResult(task.name, "SUCCESS", rows, [c for c in source.columns if c not in columns])
+
+
+def _typed(text: str, kind: T.DataType) -> Any:
+    """A key as the state document holds it: whole numbers as numbers, all else as text that compares with the column."""
+    return int(text) if isinstance(kind, T.IntegralType) else text
 
 
 def run_batch(tasks: Iterable[tuple[int, EtlTask]], execute: Callable[[EtlTask], EtlResult], running: Iterable[str] = ()) -> list[EtlResult]:

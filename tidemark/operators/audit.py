@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.canonical import canonical
+from .merge import _joined
 from .scan import sampled_boundaries
 
 SAMPLE, LEAST_SAMPLE, MOST_SAMPLE = 50, 2, 200
@@ -35,8 +36,10 @@ def content_audit(source: DataFrame, target: DataFrame, key: Sequence[str], samp
     rows = source.where(bound) if bound is not None else source
     keys = sampled_boundaries(rows, key, min(max(sample, LEAST_SAMPLE), MOST_SAMPLE)).select(*key)  # MOST_SAMPLE rows at most
     columns = [c for c in comparable(source.schema, key, hashed) if c in target.columns]
-    own = lambda df, tag: df.join(F.broadcast(keys), list(key), "left_semi").select(*key, *(canonical(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"{tag}_{c}") for c in columns), F.lit(True).alias(f"{tag}_there"))
-    both = own(rows, "s").join(own(target, "t"), list(key), "left")
+    own = lambda df, tag: _joined(df, F.broadcast(keys), key, "left_semi").select(*key, *(canonical(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"{tag}_{c}") for c in columns), F.lit(True).alias(f"{tag}_there"))
+    held = own(target, "t").withColumnsRenamed({k: f"t_key_{i}" for i, k in enumerate(key)})
+    found = own(rows, "s")
+    both = found.join(held, [found[k].eqNullSafe(held[f"t_key_{i}"]) for i, k in enumerate(key)], "left")
     absent = F.col("t_there").isNull()
     wrong = {c: ~absent & ~F.col(f"s_{c}").eqNullSafe(F.col(f"t_{c}")) for c in columns}
     any_wrong = absent

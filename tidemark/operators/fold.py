@@ -60,7 +60,8 @@ def row_bytes(schema: T.StructType) -> Column:
 
 def over_budget(log: DataFrame, transaction: str, rows: int = BUDGET_ROWS, size: int = BUDGET_BYTES) -> DataFrame:
     """Transactions that are too large to buffer: (transaction, rows, bytes)."""
-    return log.groupBy(transaction).agg(F.count("*").alias("rows"), F.sum(row_bytes(log.schema)).alias("bytes")).where((F.col("rows") > rows) | (F.col("bytes") > size))
+    values = T.StructType([f for f in log.schema if f.name != transaction])
+    return log.groupBy(transaction).agg(F.count("*").alias("rows"), F.sum(row_bytes(values)).alias("bytes")).where((F.col("rows") > rows) | (F.col("bytes") > size))
 
 
 def lsn_key(text: Column) -> Column:

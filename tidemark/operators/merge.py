@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import differs
@@ -24,10 +24,14 @@ def _joined(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) ->
     return a.join(b, on, how)
 
 
-def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Of rows with equal keys, the last by ``order``, which has to be total."""
-    newest = Window.partitionBy(*key).orderBy(*(F.col(o).desc() if isinstance(o, str) else o for o in order))
-    return rows.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
+def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of rows with equal keys, the last by ``order`` (nulls first), which has to be total. A maximum, combined before the shuffle, so that a hot key brings one row from each task."""
+    names = {c: f"_v{i}" for i, c in enumerate(rows.columns)}
+    inner = rows.toDF(*names.values())
+    known = {c.lower(): n for c, n in names.items()}
+    held = [known[k.lower()] for k in key]
+    newest = F.max_by(F.struct(*names.values()), F.struct(*(known[o.lower()] for o in order)))
+    return inner.groupBy(*held).agg(newest.alias("_row")).select("_row.*").toDF(*rows.columns)
 
 
 def upsert(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -86,7 +90,7 @@ def resolve_keys(columns: Sequence[str], wanted: Sequence[str]) -> list[str]:
     return [known[w.lower()] for w in wanted]
 
 
-def upsert_by(target: DataFrame, source: DataFrame, wanted: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def upsert_by(target: DataFrame, source: DataFrame, wanted: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Upsert by keys that the user names: null keys fail, and of rows with equal keys the last wins."""
     key = resolve_keys(source.columns, wanted)
     return upsert(target, last_per_key(require_keys(source, key), key, order), key)

@@ -43,11 +43,23 @@ def rows_in_window(log: DataFrame, start: Column, end: Column, project: str = "p
 
 
 def buckets(samples: DataFrame, start: Column, end: Column, step: str, when: str = "ts", value: str = "value") -> DataFrame:
-    """(slot, average, total, largest) of each bucket in [start, end]: nulls are left out, a bucket of nulls alone gives null, and an empty one is kept."""
-    width = F.expr(f"INTERVAL {step}")
-    wanted = _slots(samples.sparkSession, start, end, step)
-    found = samples.groupBy(F.window(when, step).start.alias("slot")).agg(F.avg(value).alias("average"), F.sum(value).alias("total"), F.max(value).alias("largest"))
-    return wanted.where(F.col("slot") + width > start).join(found, "slot", "left").select("slot", "average", "total", "largest")
+    """(slot, average, total, largest) of each bucket of [start, end): buckets begin at ``start``, and the last one may be cut short.
+
+    A sample on a border belongs to the bucket that begins there; one before ``start``, at ``end`` or after it to none. Nulls are left out, a bucket of
+    nulls alone gives null, and an empty one is kept. A span or a step of nothing has no buckets.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    width = micros(zero + F.expr(f"INTERVAL {step}")) - micros(zero)
+    span = micros(end) - micros(start)
+    count = F.when((span > 0) & (width > 0), F.ceil(span / width)).otherwise(0).cast("int")
+    kind = samples.schema[when].dataType
+    numbers = samples.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), count)).alias("number")).where(F.col("number") < count)
+    wanted = numbers.select("number", F.timestamp_micros(micros(start) + F.col("number") * width).cast(kind).alias("slot"))
+    inside = samples.where((F.col(when) >= start.cast(kind)) & (F.col(when) < end.cast(kind)))
+    number = F.floor((micros(F.col(when)) - micros(start)) / width).cast("int")
+    found = inside.groupBy(number.alias("number")).agg(F.avg(value).alias("average"), F.sum(value).alias("total"), F.max(value).alias("largest"))
+    return wanted.join(found, "number", "left").select("slot", "average", "total", "largest")
 
 
 def uptime(samples: DataFrame, ok: str = "ok") -> DataFrame:

@@ -10,7 +10,7 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,27 +87,31 @@ def range_number(column: str, low: Column, high: Column, parts: int) -> Column:
 def sampled_boundaries(df: DataFrame, key: Sequence[str], parts: int) -> DataFrame:
     """The first key of each of ``parts`` equal buckets in key order: ``bucket`` and the key columns.
 
-    NTILE without partitions would bring every key to one task. Keys are ranked by range partition instead: counts of the
-    partitions give each partition its offset, and ranks give the buckets.
+    NTILE without partitions would bring every key to one task. Keys are sorted by range partitions instead: the partitions' counts
+    say in which of them, and at which place, each bucket begins.
     """
     spark = df.sparkSession
     keys = df.select(*key)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    local = Window.partitionBy("_part").orderBy(*key)
-    ranked = keys.repartitionByRange(n, *key).withColumn("_part", F.spark_partition_id()).withColumn("_rank", F.row_number().over(local))
-    ranked = ranked.persist()
-    sizes = {r[0]: r[1] for r in ranked.groupBy("_part").count().collect()}
-    total, offsets, at = sum(sizes.values()), {}, 0
-    for part in sorted(sizes):
-        offsets[part], at = at, at + sizes[part]
+    total = keys.count()
     if not total:
-        ranked.unpersist()
         return keys.withColumn("bucket", F.lit(1)).limit(0).select("bucket", *key)
     small, extra = divmod(total, parts)
-    starts = sorted({i * small + min(i, extra) + 1 for i in range(min(parts, total))})  # ranks at which buckets begin
-    offset = F.element_at(F.create_map(*[F.lit(x) for p in offsets.items() for x in p]), F.col("_part"))
-    bucket = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(starts) for x in (r, i + 1)]), (F.col("_rank") + offset).cast("int"))
-    return ranked.withColumn("bucket", bucket).where("bucket IS NOT NULL").select("bucket", *key)
+    starts = [i * small + min(i, extra) for i in range(min(parts, total))]  # ranks, from 0, at which buckets begin
+    # A global sort gives rows numbers that rise with the key: partition << 33 | place. One shuffle, written once, so that what is
+    # counted and what is numbered are the same partitions even after an executor is lost.
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    ordered = keys.orderBy(*key).withColumn("_number", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_number", 33)
+    sizes = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).agg(F.count("*")).collect()}  # a row for each partition
+    at, numbers = 0, {}  # row number of each start
+    for p in sorted(sizes):
+        while len(numbers) < len(starts) and starts[len(numbers)] < at + sizes[p]:
+            i = len(numbers)
+            numbers[i + 1] = (p << 33) + starts[i] - at
+        at += sizes[p]
+    wanted = spark.createDataFrame([(b, n) for b, n in numbers.items()], "bucket int, _wanted long")  # ``parts`` rows
+    return ordered.join(F.broadcast(wanted), F.col("_number") == F.col("_wanted")).select("bucket", *key)
 
 
 def boundary_ranges(boundaries: Sequence[Any]) -> list[tuple[Any, Any]]:

@@ -121,9 +121,9 @@ def keyless_offset_page(spark, sf_dir):
     return scan.offset_page(read(spark, sf_dir, "nation"), 5, 7)
 
 
-@query("SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 40 = 0)")
+@query("SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def point_fetch(spark, sf_dir):
-    keys = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    keys = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return scan.fetch_by_keys(read(spark, sf_dir, "lineitem"), keys, ["l_orderkey"])
 
 
@@ -356,14 +356,13 @@ def cdc_fold_lww(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_LOG}, t AS (SELECT *, (seq - 1) // 20 AS tx FROM log)
-    SELECT tx::BIGINT AS tx, user_id, op, value FROM (SELECT *, row_number() OVER (PARTITION BY tx, user_id ORDER BY seq DESC) AS rn FROM t) WHERE rn = 1
+    WITH {_LOG}, t AS (SELECT *, event_id // 20 AS tx FROM log)
+    SELECT tx::BIGINT AS tx, user_id, op, value FROM (SELECT *, row_number() OVER (PARTITION BY tx, user_id ORDER BY event_id DESC) AS rn FROM t) WHERE rn = 1
 """)
 def cdc_fold_transactions(spark, sf_dir):
-    log = change_log(read(spark, sf_dir, "events"))
-    numbered = log.withColumn("seq", F.row_number().over(Window.orderBy("ts", "event_id")))  # the log's own sequence, which a real log carries
-    tx = numbered.withColumn("tx", F.floor((F.col("seq") - 1) / 20))
-    return fold.fold(tx, ["user_id"], ["seq"], within=["tx"]).select("tx", "user_id", "op", "value")
+    """Twenty changes in a row are a transaction; event_id is the log's own sequence."""
+    log = change_log(read(spark, sf_dir, "events")).withColumn("tx", F.floor(F.col("event_id") / 20))
+    return fold.fold_aggregated(log, ["user_id"], ["event_id"], within=["tx"]).select("tx", "user_id", "op", "value")
 
 
 @query(f"""
@@ -406,9 +405,7 @@ def lsn_window(spark, sf_dir):
 @query("SELECT user_id AS tx, count(*) AS rows, (sum(16 + 32 + 2 * length(event_type) + 2 * length(props)))::BIGINT AS bytes FROM events GROUP BY 1 HAVING count(*) > 60 OR bytes > 9000")
 def transaction_budget(spark, sf_dir):
     log = read(spark, sf_dir, "events").select("value", "event_type", "props", F.col("user_id").alias("tx"))
-    sized = log.select("tx", fold.row_bytes(log.drop("tx").schema).alias("b"))
-    over = sized.groupBy("tx").agg(F.count("*").alias("rows"), F.sum("b").alias("bytes"))
-    return over.where("rows > 60 OR bytes > 9000")
+    return fold.over_budget(log, "tx", 60, 9000)
 
 
 @query("""
@@ -478,16 +475,31 @@ def rows_per_project(spark, sf_dir):
     return metrics.rows_in_window(log, stamp("2024-01-05"), stamp("2024-01-12"))
 
 
-@query("""
-    WITH v AS (SELECT ts, CASE WHEN event_id % 7 = 0 OR day(ts) = 3 THEN NULL ELSE event_id % 1000 END AS value FROM events WHERE day(ts) <> 5),
-         s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-08', INTERVAL 6 HOUR)) AS slot),
-         b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS slot, avg(value) AS a, sum(value) AS t, max(value) AS m FROM v GROUP BY 1)
-    SELECT slot, a AS average, t::BIGINT AS total, m AS largest FROM s LEFT JOIN b USING (slot)
-""")
-def metric_buckets(spark, sf_dir):
+def _bucket_sql(start: str, end: str, hours: int) -> str:
+    """Half-open buckets from ``start``: a sample's bucket is the whole number of widths since then."""
+    return f"""
+        WITH v AS (SELECT ts, CASE WHEN event_id % 7 = 0 OR day(ts) = 3 THEN NULL ELSE event_id % 1000 END AS value FROM events WHERE day(ts) <> 5),
+             w AS (SELECT epoch_us(TIMESTAMP '{start}') AS a, epoch_us(TIMESTAMP '{end}') AS z, {hours} * 3600000000 AS width),
+             s AS (SELECT unnest(range(0, ((z - a + width - 1) // width)::BIGINT)) AS i FROM w),
+             b AS (SELECT (epoch_us(ts) - a) // width AS i, avg(value) AS average, sum(value)::BIGINT AS total, max(value) AS largest FROM v, w WHERE epoch_us(ts) >= a AND epoch_us(ts) < z GROUP BY 1)
+        SELECT make_timestamp((SELECT a FROM w) + s.i * (SELECT width FROM w)) AS slot, average, total, largest FROM s LEFT JOIN b ON b.i = s.i
+    """
+
+
+def _bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").where("day(ts) <> 5")
-    samples = e.select("ts", F.when((F.col("event_id") % 7 != 0) & (F.dayofmonth("ts") != 3), F.col("event_id") % 1000).alias("value"))
-    return metrics.buckets(samples, stamp("2024-01-02"), stamp("2024-01-08"), "6 HOURS")
+    return e.select("ts", F.when((F.col("event_id") % 7 != 0) & (F.dayofmonth("ts") != 3), F.col("event_id") % 1000).alias("value"))
+
+
+@query(_bucket_sql("2024-01-02 00:00:00", "2024-01-08 00:00:00", 6))
+def metric_buckets(spark, sf_dir):
+    return metrics.buckets(_bucket_samples(spark, sf_dir), stamp("2024-01-02"), stamp("2024-01-08"), "6 HOURS")
+
+
+@query(_bucket_sql("2024-01-02 01:17:31", "2024-01-07 05:00:00", 6))
+def metric_buckets_unaligned(spark, sf_dir):
+    """Buckets begin where the window does, and the last one is cut short."""
+    return metrics.buckets(_bucket_samples(spark, sf_dir), stamp("2024-01-02 01:17:31"), stamp("2024-01-07 05:00:00"), "6 HOURS")
 
 
 @query("SELECT count(*) FILTER (WHERE event_type <> 'error') * 100 / count(*) AS uptime FROM events")
@@ -534,9 +546,9 @@ def alert_events(spark, sf_dir):
 # tables, names and structure ---------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^.*BRASS$|^SMALL .LATED.*$')")
+@query("SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '^customer#.*7$|^customer#.......1.*$|^customer#000000002$', 'i')")
 def glob_filter(spark, sf_dir):
-    return read(spark, sf_dir, "part").where(objects.matches(F.col("p_type"), "*BRASS, SMALL ?LATED*")).select("p_partkey", "p_type")
+    return read(spark, sf_dir, "customer").where(objects.matches(F.col("c_name"), "Customer#*7, customer#???????1*,Customer#000000002")).select("c_custkey", "c_name")
 
 
 @query("SELECT upper(substr(p_brand, 1, 7)) AS target, count(*) AS sources, string_agg(p_brand, ',' ORDER BY p_brand) AS names FROM (SELECT DISTINCT p_brand FROM part) GROUP BY 1 HAVING count(*) > 1")

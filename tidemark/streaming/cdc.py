@@ -26,7 +26,12 @@ class VersionedTable:
         self.state = StateStore(spark, self.folder)
 
     def current(self) -> DataFrame | None:
+        """The current version; None before the first. Versions beyond the first without a document that names one are refused, not taken for an empty table."""
         now = self.state.read("current")
+        if now is None:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v[1-9]*")
+            if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
+                raise RuntimeError(f"{self.folder} has versions, but nothing says which one is current")
         return self.spark.read.parquet(f"{self.folder}/v{now['version']}") if now else None
 
     def replace(self, df: DataFrame, batch: int | None = None) -> None:
