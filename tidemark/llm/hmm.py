@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,11 @@ class Parameters:
     move: np.ndarray
     emit: np.ndarray  # a row for each symbol
 
+    @cached_property
+    def padded(self) -> np.ndarray:
+        """Emissions with a last row of zeros, for the places behind the end of a text, which hold -1."""
+        return np.concatenate([self.emit, np.zeros((1, len(self.start)))])
+
 
 def is_held_out(doc_id: Column) -> Column:
     """The fold that training never sees: crc32 of the id as text, mod 5, is 1. A null id is training."""
@@ -200,31 +206,42 @@ def _grouped(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += len(rows)
 
 
-def _forward(p: Parameters, symbols: np.ndarray, alive: np.ndarray, first: int, last: int, state: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Steps ``first`` to ``last`` of the scaled recursion, from ``state``, which is changed: log10 of the scales' products, and with ``keep`` all vectors and scales."""
-    total, ones = np.zeros(symbols.shape[1]), np.ones(len(p.start))
-    vectors = np.zeros((last - first, *state.shape)) if keep else np.zeros(0)
-    scales = np.ones((last - first, len(state))) if keep else np.zeros(0)
-    for t in range(first, last):
-        n = alive[t]
-        before = p.start if t == 0 else state[:n] @ p.move
-        now = before * p.emit[symbols[t, :n]]
-        scale = now @ ones
+def _ahead(p: Parameters, symbols: np.ndarray, alive: list[int], state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of the scaled recursion on from ``state``, or from the start: emissions and vectors (0 where a text has ended) and scales of all of them."""
+    emissions, ones = p.padded[symbols], np.ones(len(p.start))
+    vectors, scales = np.zeros_like(emissions), np.ones(symbols.shape)
+    for t, n in enumerate(alive):
+        now, scale = vectors[t, :n], scales[t, :n]
+        if state is None:
+            np.multiply(p.start, emissions[t, :n], out=now)
+        else:
+            np.matmul(state[:n], p.move, out=now)
+            now *= emissions[t, :n]
+        np.matmul(now, ones, out=scale)
         now /= scale[:, None]
-        state[:n] = now
-        total[:n] += np.log10(scale)
-        if keep:
-            vectors[t - first, :n], scales[t - first, :n] = now, scale
-    return total, vectors, scales
+        state = now
+    return emissions, vectors, scales
 
 
-def forward(p: Parameters, symbols: np.ndarray) -> np.ndarray:
-    """Log10 likelihoods of columns of symbols by the scaled forward recursion.
+def _blocks(symbols: np.ndarray, tokens: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """How many texts go on at each step, and first and last steps of blocks of about so many tokens.
 
-    Columns go from long to short, so at each step the first ``alive`` of them go on.
+    Columns go from long to short, so that those that go on are the first ones.
     """
     steps, texts = symbols.shape
-    return _forward(p, symbols, (symbols >= 0).sum(1), 0, steps, np.zeros((texts, len(p.start))), False)[0]
+    size = max(1, tokens // max(1, texts))
+    return (symbols >= 0).sum(1).tolist(), [(i, min(steps, i + size)) for i in range(0, steps, size)]
+
+
+def forward(p: Parameters, symbols: np.ndarray, tokens: int = BATCH_TOKENS) -> np.ndarray:
+    """Log10 likelihoods of columns of symbols, padded with -1, by the scaled forward recursion; vectors of so many ``tokens`` are held at once."""
+    alive, blocks = _blocks(symbols, tokens)
+    total, state = np.zeros(symbols.shape[1]), None
+    for first, last in blocks:
+        _, vectors, scales = _ahead(p, symbols[first:last], alive[first:last], state)
+        total += np.log10(scales).sum(0)
+        state = vectors[-1].copy()
+    return total
 
 
 def expected(p: Parameters, symbols: np.ndarray, tokens: int = BATCH_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,31 +249,37 @@ def expected(p: Parameters, symbols: np.ndarray, tokens: int = BATCH_TOKENS) ->
 
     Vectors of so many ``tokens`` are held at once; those of a longer text are made again, from the state at the start of their block, on the way back.
     """
-    steps, texts = symbols.shape
-    alive, states = (symbols >= 0).sum(1), len(p.start)
-    size = max(1, tokens // max(1, texts))
-    held, state = [], np.zeros((texts, states))
-    for first in range(0, steps, size):
-        held.append(state.copy())
-        _, ahead, scales = _forward(p, symbols, alive, first, min(steps, first + size), state, first + size >= steps)
-    move, emit, back = np.zeros_like(p.move), np.zeros((len(p.emit), states)), np.ones((texts, states))
-    onward = np.zeros((0, states))
-    for block in range(len(held) - 1, -1, -1):
-        first, last = block * size, min(steps, (block + 1) * size)
-        if last < steps:
-            _, ahead, scales = _forward(p, symbols, alive, first, last, held[block], True)
-        for t in range(last - 1, first - 1, -1):
-            n, later, own = alive[t], len(onward), ahead[t - first]
+    alive, blocks = _blocks(symbols, tokens)
+    states, texts = len(p.start), symbols.shape[1]
+    held: list[np.ndarray | None] = [None]
+    for first, last in blocks:
+        made = _ahead(p, symbols[first:last], alive[first:last], held[-1])
+        held.append(made[1][-1].copy())
+    move, emit = np.zeros_like(p.move), np.zeros((len(p.emit), states))
+    after, later, turned = np.ones((texts, states)), 0, np.ascontiguousarray(p.move.T)
+    for k in range(len(blocks) - 1, -1, -1):
+        first, last = blocks[k]
+        emissions, vectors, scales = made if last == len(alive) else _ahead(p, symbols[first:last], alive[first:last], held[k])
+        emissions /= scales[:, :, None]
+        back = np.ones_like(vectors)
+        for t in range(last - first - 1, -1, -1):
+            # ``after``: what the step that follows passes back, for the texts that have one
             if later:
-                move += own[:later].T @ onward
-                back[:later] = onward @ p.move.T
-            own[:n] *= back[:n]
-            onward = p.emit[symbols[t, :n]] * back[:n] / scales[t - first, :n, None]
+                if t + 1 == last - first:  # it lies in the block behind this one
+                    move += vectors[t, :later].T @ after[:later]
+                np.matmul(after[:later], turned, out=back[t, :later])
+            later = alive[first + t]
+            np.multiply(emissions[t, :later], back[t, :later], out=after[:later])
+        emissions *= back
+        move += vectors[:-1].reshape(-1, states).T @ emissions[1:].reshape(-1, states) if last - first > 1 else 0
+        vectors *= back
+        if not first:
+            start = vectors[0].sum(0)
         which = symbols[first:last].ravel()
         seen = np.flatnonzero(which >= 0)
-        weight = np.ascontiguousarray(ahead.reshape(-1, states)[seen].T)
+        weight = np.ascontiguousarray(vectors.reshape(-1, states)[seen].T)
         emit += np.stack([np.bincount(which[seen], w, len(p.emit)) for w in weight], 1)
-    return ahead[0, : alive[0]].sum(0), move * p.move, emit
+    return start, move * p.move, emit
 
 
 def initial(vocabulary: Vocabulary, states: int, seed: int = 7) -> Parameters:
