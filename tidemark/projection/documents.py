@@ -9,8 +9,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 200
+#: Fields that inference lists on the driver.
+FIELDS = 10_000
 FILTER_LENGTH, FILTER_DEPTH = 4000, 32
 _BLOCKED = frozenset({"$where", "$function", "$accumulator", "$out", "$merge"})
 
@@ -58,12 +61,15 @@ def narrowed(kinds: Iterable[str]) -> str:
     return "BsonTimestamp" if found <= {"Int64", "BsonTimestamp"} else "Mixed"
 
 
-def inferred(docs: DataFrame, json_col: str = "doc", sample: int | None = SAMPLE) -> list[tuple[str, str, str]]:
-    """(name, kind, Spark type) of each field: ``_id`` first, the others by name. One row for each field reaches the driver.
+def inferred(docs: DataFrame, json_col: str = "doc", sample: int | None = SAMPLE, most: int = FIELDS) -> list[tuple[str, str, str]]:
+    """(name, kind, Spark type) of each field: ``_id`` first, the others by name. A filter belongs on ``docs``, before the sample is taken.
 
-    Names have to be plain, and may not differ in case alone.
+    Names have to be plain, and may not differ in case alone; documents with more than ``most`` fields between them, as where keys are data, are refused.
     """
-    rows = {r.name: list(r.kinds) for r in observed_kinds(docs.limit(sample) if sample else docs, json_col).collect()}
+    found = observed_kinds(docs.limit(sample) if sample else docs, json_col).limit(most + 1).collect()
+    if len(found) > most:
+        raise DocumentError(f"more than {most} fields")
+    rows = {r.name: list(r.kinds) for r in found}
     folded: dict[str, str] = {}
     for name in rows:
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_$]*", name):
@@ -73,28 +79,59 @@ def inferred(docs: DataFrame, json_col: str = "doc", sample: int | None = SAMPLE
     return [(n, k, KINDS[k][1]) for n in sorted(rows, key=lambda n: (n != "_id", n)) for k in [narrowed(rows[n])]]
 
 
+def _parsed(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Each document parsed once, into a struct of the wanted fields."""
+    fields = T.StructType([T.StructField(name, T.VariantType()) for name, _, _ in columns])
+    return docs.select(F.from_json(F.col(json_col), fields).alias("m"))
+
+
+def _value(v: Column, kind: str, spark_type: str) -> Column:
+    """A parsed field as a value of its column; null where it can't be one."""
+    inside = lambda tag, as_type="string": F.try_variant_get(v, f"$['{tag}']", as_type)
+    text = F.try_variant_get(v, "$", "string")
+    wrapped = F.coalesce(*(inside(tag) for tag in _EXTENDED if tag not in ("$binary", "$timestamp")))
+    match kind:
+        case "Boolean":
+            return F.try_variant_get(v, "$", "boolean").cast("smallint")
+        case "Date":
+            moment = F.coalesce(F.try_variant_get(v, "$['$date']['$numberLong']", "string"), inside("$date"), text)
+            return F.coalesce(F.try_to_timestamp(moment), F.timestamp_millis(moment.try_cast("bigint")))
+        case "Binary":
+            return F.unbase64(F.coalesce(F.try_variant_get(v, "$['$binary']['base64']", "string"), inside("$binary")))
+        case "BsonTimestamp":
+            part = lambda k: F.try_variant_get(v, f"$['$timestamp']['{k}']", "bigint")
+            return F.coalesce(part("t") * F.lit(2**32) + part("i"), F.coalesce(inside("$numberLong"), text).try_cast("bigint"))
+        case "Document" | "Array":
+            return F.when(F.schema_of_variant(v) != "VOID", F.to_json(v)) if kind == "Array" else F.coalesce(wrapped, F.when(~F.is_variant_null(v), F.to_json(v)))
+        case "String":
+            return F.coalesce(text, wrapped)
+        case _:
+            return F.coalesce(wrapped, text).try_cast(spark_type)
+
+
 def rendered(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Documents as rows of the inferred columns: ids and text plain, dates as moments, booleans as 1 and 0, nested values as JSON text."""
-    parsed = docs.select(F.from_json(F.col(json_col), "map<string,variant>").alias("m"))
-    out = []
-    for name, kind, spark_type in columns:
-        v = F.to_json(F.col("m")[name])
-        inner = F.coalesce(*(F.get_json_object(v, f"$['{tag}']") for tag in _EXTENDED if tag not in ("$binary", "$timestamp")))
-        plain = F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v)
-        text = F.when(v == "null", None).otherwise(F.coalesce(inner, plain))
-        if kind == "Boolean":
-            c = F.when(text == "true", 1).when(text == "false", 0).cast("smallint")
-        elif kind == "Date":
-            c = F.coalesce(F.try_to_timestamp(text), F.timestamp_millis(text.try_cast("bigint")))
-        elif kind == "Binary":
-            c = F.unbase64(F.coalesce(F.get_json_object(v, "$['$binary'].base64"), F.get_json_object(v, "$['$binary']")))
-        elif kind == "BsonTimestamp":
-            stamp = F.get_json_object(v, "$['$timestamp'].t").cast("bigint") * F.lit(2**32) + F.get_json_object(v, "$['$timestamp'].i").cast("bigint")
-            c = F.coalesce(stamp, text.try_cast("bigint"))
-        else:
-            c = text.try_cast(spark_type)
-        out.append(c.alias(name))
-    return parsed.select(*out)
+    """Documents as rows of the inferred columns: ids and text plain, dates as moments, booleans as 1 and 0, nested values as JSON text.
+
+    A value that its column can't hold becomes null; unheld() counts those, so that a caller can refuse to go on.
+    """
+    return _parsed(docs, json_col, columns).select(*(_value(F.col(f"m.`{name}`"), kind, spark_type).alias(name) for name, kind, spark_type in columns))
+
+
+def unheld(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(name, documents): for each column how many documents have a value that it can't hold; columns without any are left out."""
+    fields = [(name, F.col(f"m.`{name}`"), kind, spark_type) for name, kind, spark_type in columns]
+    lost = [F.count_if(v.isNotNull() & ~F.is_variant_null(v) & _value(v, kind, spark_type).isNull()).alias(name) for name, v, kind, spark_type in fields]
+    counts = _parsed(docs, json_col, columns).agg(*lost)
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").alias("documents")) for name, *_ in fields)))
+    return counts.select(each.alias("x")).select("x.*").where("documents > 0")
+
+
+def require_held(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """rendered(), refused where a value would be lost."""
+    lost = {r.name: r.documents for r in unheld(docs, json_col, columns).collect()}  # a row for each column at most
+    if lost:
+        raise DocumentError("values that their columns can't hold: " + ", ".join(f"{n} in {k} documents" for n, k in sorted(lost.items())))
+    return rendered(docs, json_col, columns)
 
 
 # filters -----------------------------------------------------------------------------------------
