@@ -196,10 +196,14 @@ def test_structure_follows_a_diff(spark):
     spark.sql("DROP TABLE IF EXISTS shaped")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     spark.sql("CREATE TABLE shaped (a BIGINT) USING parquet")
-    changes = [("TABLE", "CREATE", "shaped", None), ("COLUMN", "ALTER", "shaped", "a"), ("TABLE", "DROP", "shaped", None), ("COLUMN", "CREATE", "gone", "x")]
-    done = structure.apply(spark, changes, {"shaped": schema, "gone": T.StructType([T.StructField("x", T.LongType())])})
-    assert [d.split(":")[0] for _, d in done] == ["APPLIED", "SKIPPED", "SKIPPED", "FAILED"] and spark.table("shaped").columns == ["a", "b"]
-    assert structure.rewritten_column(spark, "shaped", "A", T.StringType()) == "CAST(`a` AS string) AS `a`, `b`"
+    spark.sql("INSERT INTO shaped VALUES (1), (2)")
+    changes = [("TABLE", "CREATE", "shaped", None), ("COLUMN", "ALTER", "shaped", "a"), ("TABLE", "DROP", "shaped", None), ("COLUMN", "CREATE", "gone", "x"), ("INDEX", "CREATE", "shaped", None), ("COLUMN", "DROP", "shaped", "b")]
+    wanted = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    schemas = {"shaped": wanted, "gone": T.StructType([T.StructField("x", T.LongType())])}
+    done = structure.apply(spark, changes, schemas)
+    assert [d.split(":")[0] for _, d in done] == ["APPLIED", "APPLIED", "SKIPPED", "FAILED", "SKIPPED", "SKIPPED"] and dict(spark.table("shaped").dtypes) == {"a": "string", "b": "string"}
+    assert rows(spark.table("shaped")) == [("1", None), ("2", None)]
+    assert structure.apply(spark, [("COLUMN", "DROP", "shaped", "B")], schemas, allow_drop=True)[0][1] == "APPLIED" and spark.table("shaped").columns == ["a"]
 
 
 def test_boundaries_come_back_as_they_were():

@@ -65,9 +65,12 @@ def _decode(args: list[str], out: Converted) -> str | None:
     return f"CASE {arms}{f' ELSE {rest[-1]}' if len(rest) % 2 else ''} END"
 
 
-def _cast_type(text: str, out: Converted) -> str:
+def _cast_type(text: str, out: Converted, source: str = "") -> str:
+    """Spark's name of a type. A date of Oracle has a time of day."""
     m = re.fullmatch(r"\s*([A-Za-z_0-9 ]+?)\s*(\([^)]*\))?\s*", text)
     known = CAST_TYPES.get(m[1].upper()) if m else None
+    if known == "date" and source == "oracle":
+        return "timestamp"
     if known is None:
         out.blocked.append(f"cast to unknown type {text.strip()}")
         return text
@@ -130,9 +133,9 @@ def convert(sql: str, source: str, target: str = "spark") -> Converted:
             else:
                 code = re.sub(rf"(?<![\w.$#]){name}(?=\s*\()", new, code, flags=re.I)
         if target == "spark":
-            code = rewrite_calls(code, "CAST", lambda a: _cast(a, out))
+            code = rewrite_calls(code, "CAST", lambda a: _cast(a, out, source))
             code = rewrite_calls(code, "CONVERT", lambda a: f"CAST({a[1]} AS {_cast_type(a[0], out)})" if len(a) == 2 and source == "sqlserver" else f"CAST({a[0]} AS {_cast_type(a[1], out)})" if len(a) == 2 else None)
-            code = re.sub(r"::\s*([A-Za-z_0-9]+(?:\s*\([^)]*\))?)", lambda m: f"::{_cast_type(m[1], out)}", code)
+            code = re.sub(r"::\s*([A-Za-z_0-9]+(?:\s*\([^)]*\))?)", lambda m: f"::{_cast_type(m[1], out, source)}", code)
         code = _limits(code, target)
         if target not in ("oracle", "hana", "db2"):
             code = re.sub(r"\s+FROM\s+(?:DUAL|DUMMY|SYSIBM\.SYSDUMMY1)\b", "", code, flags=re.I)
@@ -156,9 +159,9 @@ def convert(sql: str, source: str, target: str = "spark") -> Converted:
     return out
 
 
-def _cast(args: list[str], out: Converted) -> str | None:
+def _cast(args: list[str], out: Converted, source: str) -> str | None:
     m = re.fullmatch(r"(.*\S)\s+AS\s+(.+)", ", ".join(args), re.I | re.S)
-    return f"CAST({m[1]} AS {_cast_type(m[2], out)})" if m else None
+    return f"CAST({m[1]} AS {_cast_type(m[2], out, source)})" if m else None
 
 
 def _limits(code: str, target: str) -> str:
@@ -187,6 +190,12 @@ def page_sql(query: str, dialect: str, size: int, offset: int = 0) -> str:
     return f"{query} OFFSET {offset} ROWS FETCH NEXT {size} ROWS ONLY"
 
 
+def may_page_by_offset(dialect: str, version: int | None = None) -> bool:
+    """Whether a source can skip rows: old versions of two dialects can't, and an unknown version is taken for a new one."""
+    least = {"sqlserver": 11, "oracle": 12}.get(dialect, 0)
+    return version is None or version >= least
+
+
 def functions_of(code: str) -> list[str]:
     """Names of called functions, for a report."""
     return sorted({m.upper() for m in re.findall(r"(?<![\w.])([A-Za-z_]\w*)\s*\(", code)})

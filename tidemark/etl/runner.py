@@ -137,7 +137,7 @@ def recover(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
-def _replace(spark: SparkSession, df: DataFrame, table: str) -> None:
+def replace_table(spark: SparkSession, df: DataFrame, table: str) -> None:
     """Write a table that the rows themselves are read from: first beside it, then in its place. At any moment one of the two is there, whole; see recover()."""
     draft, old = f"{table}__next", f"{table}__old"
     spark.sql(f"DROP TABLE IF EXISTS {draft}")
@@ -189,7 +189,7 @@ def run(spark: SparkSession, task: EtlTask, now: datetime, state: StateStore | N
         else:
             keys = resolve_keys(columns, task.upsert_keys)
             merged = last_per_key(require_keys(given, keys), keys, order).select(*columns)
-        _replace(spark, merged, task.target)
+        replace_table(spark, merged, task.target)
         spark.sql(f"DROP TABLE IF EXISTS {staged}")
     else:
         read = Observation(f"etl {task.name}")
@@ -198,7 +198,7 @@ def run(spark: SparkSession, task: EtlTask, now: datetime, state: StateStore | N
         if there and (task.mode == "APPEND" or last is not None):
             target.limit(0).unionByName(kept, allowMissingColumns=True).write.mode("append").insertInto(task.target)
         else:
-            _replace(spark, combined(task, target, kept), task.target)
+            replace_table(spark, combined(task, target, kept), task.target)
         rows, last_read = read.get["rows"], read.get["last"]
     if state and task.resume_key and rows:
         if lease is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,14 @@ def gauge(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(float("nan")))
 
 
+def exposition(samples: DataFrame, name: str, value: str, labels: Sequence[str] = ()) -> DataFrame:
+    """(line): samples in the text format that scrapers read; values that aren't known are NaN, and label values are escaped."""
+    quoted = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    tags = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), quoted(c), F.lit('"')) for c in labels))
+    head = F.concat(F.lit(name + "{"), tags, F.lit("}")) if labels else F.lit(name)
+    return samples.select(F.concat(head, F.lit(" "), gauge(F.col(value)).cast("string")).alias("line"))
+
+
 def throughput(rows: Column, read_ms: Column, write_ms: Column, commit_ms: Column, wall_ms: Column) -> list[Column]:
     """rows_per_second, and the shares of reading, writing and committing in percent."""
     spent = read_ms + write_ms + commit_ms

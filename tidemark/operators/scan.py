@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+import threading
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,3 +173,33 @@ def row_count_pair(source: DataFrame, target: DataFrame | None, table: str) -> D
     two = target.agg(F.count("*").alias("target_rows")) if target is not None else source.sparkSession.range(1).select(F.lit(None).cast("long").alias("target_rows"))
     status = F.when(F.col("target_rows").isNull(), "MISSING_TABLE").otherwise("OK")
     return one.crossJoin(two).select(F.lit(table).alias("table_name"), "source_rows", "target_rows", status.alias("status"))  # one row each
+
+
+def counted_pair(spark: SparkSession, source: Callable[[], DataFrame], target: Callable[[], DataFrame], table: str, seconds: float = 60.0) -> tuple[str, int | None, int | None, str]:
+    """(table, source rows, target rows, status) of two tables that may fail: OK, MISSING_TABLE, ERROR, or TIMEOUT for a count that is cancelled after so long."""
+    context = spark.sparkContext
+
+    def count(make: Callable[[], DataFrame]) -> tuple[int | None, str]:
+        tag = f"count-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def cancel() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, cancel)
+        timer.daemon = True
+        timer.start()
+        context.addJobTag(tag)
+        try:
+            return make().count(), "OK"
+        except Exception as e:
+            if late.is_set():
+                return None, "TIMEOUT"
+            return None, "MISSING_TABLE" if re.search(r"TABLE_OR_VIEW_NOT_FOUND|PATH_NOT_FOUND", str(e)) else "ERROR"
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+
+    (a, x), (b, y) = count(source), count(target)
+    return table, a, b, next((s for s in ("ERROR", "TIMEOUT", "MISSING_TABLE") if s in (x, y)), "OK")

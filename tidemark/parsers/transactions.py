@@ -6,6 +6,9 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 Event = tuple[str, str, Any]  # kind, transaction, content
 
 
@@ -78,3 +81,20 @@ class PreparedBranch:
     def rollback(self, branch: str) -> None:
         if branch == self.branch:
             self.rows, self.branch = [], None
+
+
+def committed_changes(events: DataFrame) -> DataFrame:
+    """The CHANGE events (transaction, seq, kind, content) of transactions that commit, without those that a rollback to a savepoint took back.
+
+    As Assembler, for a whole table of events at once: a rollback takes back the changes between the last savepoint of its name before it and itself. Rollbacks
+    are few; changes are matched with those of their own transaction only.
+    """
+    ended = events.where("kind IN ('COMMIT', 'ROLLBACK')").groupBy("transaction").agg(F.max_by("kind", "seq").alias("last"), F.max("seq").alias("end"))
+    done = ended.where("last = 'COMMIT'").select("transaction", "end")
+    marks = events.where("kind = 'SAVEPOINT'").select("transaction", F.col("content").alias("mark"), F.col("seq").alias("set_at"))
+    backs = events.where("kind = 'ROLLBACK_TO'").select("transaction", F.col("content").alias("mark"), F.col("seq").alias("back_at"))
+    spans = backs.join(marks, ["transaction", "mark"]).where("set_at < back_at").groupBy("transaction", "back_at").agg(F.max("set_at").alias("set_at"))
+    changes = events.where("kind = 'CHANGE'").join(done, "transaction").where("seq < end").drop("end")
+    c, s = changes.alias("c"), spans.alias("s")
+    undone = (F.col("c.transaction") == F.col("s.transaction")) & (F.col("c.seq") > F.col("s.set_at")) & (F.col("c.seq") < F.col("s.back_at"))
+    return c.join(s, undone, "left_anti").select("transaction", "seq", "content")

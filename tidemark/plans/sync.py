@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
@@ -116,17 +118,25 @@ def precheck(pairs: DataFrame, shapes: Sequence[TableShape], configured: dict[st
     return out
 
 
-def chunked_load(spark: SparkSession, source: DataFrame, key: str, ranges: Sequence[tuple[Any, Any]], folder: str, state: StateStore, name: str) -> int:
-    """A load in ranges that can be resumed: each range is written as a folder of its own and noted when it is complete. Gives the ranges that were still open."""
+def chunked_load(spark: SparkSession, source: DataFrame, key: str, ranges: Sequence[tuple[Any, Any]], folder: str, state: StateStore, name: str, workers: int = 4) -> int:
+    """A load in ranges that can be resumed, ``workers`` of them at once: each range is written as a folder of its own and noted when it is complete, a range that
+    was cut short is written anew. Gives the ranges that were still open. The first failure is raised when the ranges that run have ended."""
     done = set((state.read(f"chunks-{name}") or {}).get("done", []))
     open_ranges = [(i, r) for i, r in enumerate(ranges) if i not in done]
-    for i, (low, high) in open_ranges:
+    noting = threading.Lock()
+
+    def load(i: int, low: Any, high: Any) -> None:
         part = source
         if low is not None:
             part = part.where(F.col(key) > F.lit(low))
         if high is not None:
             part = part.where(F.col(key) <= F.lit(high))
         part.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/range={i}")
-        done.add(i)
-        state.write(f"chunks-{name}", {"done": sorted(done)})
+        with noting:
+            done.add(i)
+            state.write(f"chunks-{name}", {"done": sorted(done)})
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        for running in [pool.submit(load, i, low, high) for i, (low, high) in open_ranges]:
+            running.result()
     return len(open_ranges)

@@ -79,10 +79,10 @@ def inferred(docs: DataFrame, json_col: str = "doc", sample: int | None = SAMPLE
     return [(n, k, KINDS[k][1]) for n in sorted(rows, key=lambda n: (n != "_id", n)) for k in [narrowed(rows[n])]]
 
 
-def _parsed(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
+def _parsed(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]], carried: str | None = None) -> DataFrame:
     """Each document parsed once, into a struct of the wanted fields."""
     fields = T.StructType([T.StructField(name, T.VariantType()) for name, _, _ in columns])
-    return docs.select(F.from_json(F.col(json_col), fields).alias("m"))
+    return docs.select(*([carried] if carried else []), F.from_json(F.col(json_col), fields).alias("m"))
 
 
 def _value(v: Column, kind: str, spark_type: str) -> Column:
@@ -109,12 +109,12 @@ def _value(v: Column, kind: str, spark_type: str) -> Column:
             return F.coalesce(wrapped, text).try_cast(spark_type)
 
 
-def rendered(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
+def rendered(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]], carried: str | None = None) -> DataFrame:
     """Documents as rows of the inferred columns: ids and text plain, dates as moments, booleans as 1 and 0, nested values as JSON text.
 
     A value that its column can't hold becomes null; unheld() counts those, so that a caller can refuse to go on.
     """
-    return _parsed(docs, json_col, columns).select(*(_value(F.col(f"m.`{name}`"), kind, spark_type).alias(name) for name, kind, spark_type in columns))
+    return _parsed(docs, json_col, columns, carried).select(*([carried] if carried else []), *(_value(F.col(f"m.`{name}`"), kind, spark_type).alias(name) for name, kind, spark_type in columns))
 
 
 def unheld(docs: DataFrame, json_col: str, columns: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -233,6 +233,14 @@ def condition(spec: dict) -> Column:
     return out
 
 
+def field_names(spec: Any) -> list[str]:
+    """Fields that a filter names, in order."""
+    out: list[str] = []
+    for name, value in spec.items():
+        out += [n for v in value for n in field_names(v)] if name in ("$and", "$or", "$nor") else [name]
+    return list(dict.fromkeys(out))
+
+
 def resume_filter(spec: dict, key: str, last: Any) -> dict:
     """The filter for rows beyond the last committed key."""
     return {"$and": [spec, {key: {"$gt": last}}]} if spec else {key: {"$gt": last}}

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.fold import apply_changes, fold_aggregated, with_key_changes
 from ..operators.merge import prune_to
+from ..parsers.ddl import added_columns, dropped_columns, is_structural, leaves_gap
 from ..sources.state import StateStore
 
 KEEP_VERSIONS = 2
@@ -46,16 +47,42 @@ class VersionedTable:
         return batch <= (self.state.read("current") or {}).get("batch", -1)
 
 
-def merge_batch(table: VersionedTable, key: Sequence[str], order: Sequence[str], old_key: Sequence[str] = (), clean: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: key changes, cleansing, fold, prune to the target's columns, merge."""
+def widened(target: DataFrame, log: DataFrame, added: Sequence[str]) -> DataFrame:
+    """The target with columns that the log's structure changes added and its rows have, null so far."""
+    there = {c.lower() for c in target.columns}
+    kinds = {f.name.lower(): f for f in log.schema}
+    fresh = [kinds[a.lower()] for a in dict.fromkeys(a.lower() for a in added) if a.lower() in kinds and a.lower() not in there]
+    return target.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in fresh))
+
+
+def merge_batch(
+    table: VersionedTable, key: Sequence[str], order: Sequence[str], old_key: Sequence[str] = (), clean: Callable[[DataFrame], DataFrame] | None = None, ddl: str | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: structure changes, key changes, cleansing, fold, prune to the target's columns, merge.
+
+    ``ddl`` names a column with the text of a structure change, null in rows of data. Added columns are added to the target before the batch is merged; every structure change is
+    filed as a task in the document ddl-tasks, with whether rows that were copied before lack its values, and drops are left to whoever reads those tasks.
+    """
+
+    def structured(batch: DataFrame, target: DataFrame | None) -> DataFrame | None:
+        texts = [r[0] for r in batch.where(F.col(ddl).isNotNull()).orderBy(*order).select(ddl).collect()]  # structure changes of one batch
+        if not texts:
+            return target
+        filed = table.state.read("ddl-tasks") or {"tasks": []}
+        tasks = [{"sql": t, "added": added_columns(t), "dropped": dropped_columns(t), "gap": leaves_gap(t)} for t in texts if is_structural(t)]
+        table.state.write("ddl-tasks", {"tasks": filed["tasks"] + [t for t in tasks if t not in filed["tasks"]]})
+        return widened(target, batch, [a for t in tasks for a in t["added"]]) if target is not None else None
 
     def apply(batch: DataFrame, number: int) -> None:
         if table.seen(number) or batch.isEmpty():
             return
+        target = table.current()
+        if ddl:
+            target = structured(batch, target)
+            batch = batch.where(F.col(ddl).isNull()).drop(ddl)
         rows = with_key_changes(batch, key, old_key) if old_key else batch.withColumn("_step", F.lit(1))
         rows = clean(rows) if clean else rows
         folded = fold_aggregated(rows, key, [*order, "_step"])
-        target = table.current()
         if target is None:
             target = folded.drop("op", "_step", *order).limit(0)
         wanted = prune_to(folded.drop("op", "_step"), target.columns, key).columns
