@@ -6,8 +6,10 @@ byte triples and of the word pairs that repeat a word.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
 from zlib import crc32
 
 import numpy as np
@@ -84,8 +86,8 @@ class Sample:
         return out
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> Sample:
-    """Features of about ``size`` labelled texts. ``labels`` has the columns id and y, one row for each id.
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> DataFrame:
+    """Features of about ``size`` labelled texts, a row for each. ``labels`` has the columns id and y, one row for each id.
 
     Rows are chosen by a threshold on a hash of the id, so the same rows come again in any order of reading. Columns that fewer than
     MIN_TEXTS of the texts have can't enter a fit; they are counted and left out on the executors.
@@ -120,22 +122,38 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, si
             values = pa.array([v[h] for (_, v), h in zip(lists, held)], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], columns, values], ["id", "y", "fold", "columns", "vals"])
 
-    table = found.mapInArrow(thinned, schema).orderBy("id", "y", "fold").drop("id").toArrow()
-    labels_of, fold = table["y"].to_numpy(), table["fold"].to_numpy()
-    starts = np.concatenate([[0], *(c.value_lengths().to_numpy(zero_copy_only=False) for c in table["columns"].chunks)]).cumsum().astype(np.int64)
-
-    def flat(name: str, kind: type) -> np.ndarray:
-        """One column's entries; its table is let go on the way, so that the driver holds one column twice and no more."""
-        nonlocal table
-        out, at = np.empty(int(starts[-1]), kind), 0
-        for chunk in table[name].chunks:
-            part = chunk.flatten().to_numpy(zero_copy_only=False)
-            out[at : at + len(part)] = part
-            at += len(part)
-        table = table.drop_columns([name])
-        return out
+    return found.mapInArrow(thinned, schema)
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Sample:
+    """Rows of sampled() in one place; what they come in is let go as it is read."""
+    labels, folds, sizes, columns, values = [], [], [], [], []
+    for batch in batches:
+        labels.append(np.array(batch.column(1)))
+        folds.append(np.array(batch.column(2)))
+        sizes.append(np.array(batch.column(3).value_lengths()))
+        columns.append(np.array(batch.column(3).flatten(), np.int32))
+        values.append(np.array(batch.column(4).flatten(), np.float32))
+    whole = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if len(parts) > 1 else parts[0].astype(kind, copy=False) if parts else np.zeros(0, kind)
+    starts = np.concatenate([np.zeros(1, np.int64), whole(sizes, np.int64)]).cumsum()
+    return Sample(whole(labels, np.int32), whole(folds, np.int32), starts, whole(columns, np.int32), whole(values, np.float32))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit: Callable[[Sample], Any], size: int = SAMPLE) -> Any:
+    """What ``fit`` makes of the sample. One task gathers it, which the size bounds, and fits; the driver gets the model alone."""
 
-    return Sample(labels_of, fold, starts, flat("columns", np.int32), flat("vals", np.float32))
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = _gathered(part for batch in batches for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], ["model"])
+
+    rows = sampled(docs, labels, id_col, text_col, size).repartition(1).sortWithinPartitions("id", "y", "fold")
+    found = rows.mapInArrow(over, "model binary").first()
+    return pickle.loads(found.model) if found else fit(_gathered([]))
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> Sample:
+    """The sample on the driver, to look at."""
+    return _gathered(sampled(docs, labels, id_col, text_col, size).orderBy("id", "y", "fold").toArrow().to_batches())
 
 
 #: First and second derivatives of the mean loss by each row's score.

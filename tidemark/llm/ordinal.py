@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, sliced
-from .hashed_text import Sample, Sparse, fit_relaxed, labelled, sample_of, score, sigmoid
+from .hashed_text import Sample, Sparse, fit_relaxed, fitted, labelled, score, sigmoid
 
 GRADES = 3
 #: A document is kept if it reaches this grade with this probability.
@@ -99,7 +99,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
     Without any rated text every grade is equally likely.
     """
-    return fit(sample_of(docs, ratings, id_col, text_col), grades)
+    return fitted(docs, ratings, id_col, text_col, lambda sample: fit(sample, grades))
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, sliced, texts_of
-from .hashed_text import Sample, Sparse, features, fit_relaxed, labelled, sample_of, sigmoid
+from .hashed_text import Sample, Sparse, features, fit_relaxed, fitted, labelled, sigmoid
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -142,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     y = 2 * F.coalesce(F.col("quality"), F.lit(1)) + (1 - F.coalesce(F.col("toxic"), F.lit(0)))
     known = labels.select(F.col("doc_id").alias("id"), "quality", "toxic").groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    sample = sample_of(docs, labelled(known, "id", y.cast("int")), id_col, text_col)
+    return fitted(docs, labelled(known, "id", y.cast("int")), id_col, text_col, rules_of)
+
+
+def rules_of(sample: Sample) -> Rules:
     if not len(sample):
         return Rules(Regression(NO_WEIGHTS, 0.0, 10.0), Regression(NO_WEIGHTS, 0.0, -10.0))
     return Rules(fit(sample, sample.labels // 2), fit(sample, 1 - sample.labels % 2))
