@@ -1,5 +1,6 @@
 """Near copies against brute force over sets of word runs and plain fingerprints."""
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -60,15 +61,25 @@ def test_sample_agrees_with_brute_force(spark):
     assert {r.doc_id for r in neardedup.deduplicated(df).collect()} == kept_by_brute_force(made)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_order_of_comparing_changes_nothing(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("block", [neardedup.BLOCK, 7])
+def test_blocks_of_a_bucket_change_nothing(spark, monkeypatch, block):
     made = [(k * 60 + i, near({i, (i * 7 + k) % 60})) for k in range(2) for i in range(60)]
     df = spark.createDataFrame(made, "doc_id long, text string")
-    monkeypatch.setattr(neardedup, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(neardedup, "OPEN_PAIRS", 0)
+    monkeypatch.setattr(neardedup, "BLOCK", block)
     assert {r.doc_id for r in neardedup.deduplicated(df).collect()} == kept_by_brute_force(made)
 
 
+def test_pairs_of_likeness_four_fifths_meet(spark):
+    """All pairs at the threshold share a band and come out alike enough: 2,000 pairs of random sets."""
+    r = np.random.default_rng(5)
+    for _ in range(2000):
+        both, left, right = (r.integers(0, 2**63, n, np.uint64) for n in (160, 20, 20))
+        a, b = (neardedup.min_hashes(np.unique(np.concatenate([both, x]))) for x in (left, right))
+        assert set(neardedup.bands_of(a).tolist()) & set(neardedup.bands_of(b).tolist())
+        x, y = (np.frombuffer(neardedup.signature(s), np.uint8)[None] for s in (a, b))
+        assert neardedup._agreement(x, y)[0, 0] >= neardedup.ESTIMATE
+
+
 def test_rows_of_an_id_are_judged_by_their_own_text(spark):
     made = [(1, near(())), (2, near({30})), (2, "something else that copies nothing at all"), (3, "p q r s t u"), (3, "p q r s t u"), (None, near(())), (None, None)]
     df = spark.createDataFrame(made, "doc_id long, text string")

@@ -4,10 +4,11 @@ Texts with equal sets of shingles, runs of SHINGLE_WORDS words, form a class. Gr
 are linked through anchor points where they differ in few bits. Bits see only the closest copies, though: at a Jaccard similarity of 0.8 over
 shingles two fingerprints differ in about 10 of 64 bits, and anchors for so wide a threshold would have every fingerprint copied to most of
 them. So the links between likenesses of THRESHOLD and what bits see come from min-hashes: classes that agree in a band of
-them are candidates, and candidates that aren't in one group already are compared by their whole sets. Two classes of likeness s miss each
-other in all bands with probability (1 - s^ROWS)^BANDS, 7e-10 at THRESHOLD and less above it; nothing else is left to chance, and no bucket is
-capped. A bucket is compared with one of its classes at a time, so that a crowd of copies costs a pair for each class, and all
-pairs that are still open come last.
+them meet in a bucket, members of a bucket are compared by all their min-hashes, and pairs that come out alike enough, and aren't in one group
+already, are compared by their whole sets. Nothing is capped: a large bucket is compared in blocks, which become tasks of their own.
+
+What is left to chance: two classes of likeness THRESHOLD meet in no band with a probability of about 1e-6, and less if they are more alike; and
+a pair of likeness THRESHOLD is estimated below ESTIMATE with a probability of about 3e-6.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, cut, shingle_hashes, written
+from .common import arrow_map, bytes_of, cut, shingle_hashes, shuffle_partitions, written
 from .components import connected_components
 from .simhash import SEED, fingerprint_groups, fingerprint_of_hashes
 from .spotsigs import pruned_likeness
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Bands, and min-hashes in each.
-BANDS, ROWS = 40, 4
-#: After so many rounds, or when so few pairs for each member of a bucket are open, all open pairs are compared. Only the cost depends on these figures.
-STAR_ROUNDS, OPEN_PAIRS = 6, 2
+#: Min-hashes of a set; a band is made of ROWS of them, dealt out evenly.
+MIN_HASHES, BANDS, ROWS = 160, 60, 6
+#: Pairs whose min-hashes agree in a smaller share aren't compared by their sets.
+ESTIMATE = 0.65
+#: Members of a bucket that are compared at once.
+BLOCK = 2048
 
 
 # sets --------------------------------------------------------------------------------------------
@@ -43,20 +46,31 @@ def shingles_of(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _turns() -> tuple[np.ndarray, np.ndarray]:
+def _turns() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and shifts of the min-hashes, and which of them make each band."""
     r = np.random.default_rng(SEED)
-    return r.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, BANDS * ROWS, np.uint64)
+    factor, shift = r.integers(0, 2**63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, MIN_HASHES, np.uint64)
+    dealt = [p[i : i + ROWS] for p in (r.permutation(MIN_HASHES) for _ in range(BANDS)) for i in range(0, MIN_HASHES - ROWS + 1, ROWS)]
+    return factor, shift, np.stack(dealt[:BANDS])
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """A hash for each band of a set's min-hashes; none for an empty set."""
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    factor, shift = _turns()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def min_hashes(shingles: np.ndarray) -> np.ndarray:
+    factor, shift, _ = _turns()
+    least = np.full(MIN_HASHES, np.iinfo(np.uint64).max)
     for i in range(0, len(shingles), 512):
         np.minimum(least, (shingles[i : i + 512, None] * factor + shift).min(0), out=least)
-    return np.fromiter((xxhash.xxh3_64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64)
+    return least
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
+    """A hash for each band of a set's min-hashes."""
+    parts = np.ascontiguousarray(least[_turns()[2]])
+    return np.fromiter((xxhash.xxh3_64_intdigest(b.tobytes(), k) for k, b in enumerate(parts)), np.uint64, BANDS).view(np.int64)
+
+
+def signature(least: np.ndarray) -> bytes:
+    """A byte of each min-hash: unequal ones agree in it by chance once in 256."""
+    return (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _class_of(shingles: np.ndarray) -> int:
@@ -70,19 +84,24 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, class, fp, bands) for every row of ``df``; a null text counts as empty. Of classes with several fingerprints, as texts may repeat their shingles, the least is taken."""
+    """(doc_id, mark, class, fp, sketch, bands) for every row of ``df``; a null text counts as empty, and an empty set has no sketch and no bands."""
 
     def over(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        classes, prints, bands = [], [], []
-        for text in bytes_of(batch.column(2)):
-            blocks = list(shingle_hashes(text, SHINGLE_WORDS, SEED))
-            found = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
-            classes.append(_class_of(found))
-            prints.append(fingerprint_of_hashes(blocks))
-            bands.append(bands_of(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "mark", "class", "fp", "bands"])
-
-    return arrow_map(_named(df, id_col, text_col), over, "doc_id long, mark long, class long, fp long, bands array<long>")
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            classes, prints, sketches, bands = [], [], [], []
+            for text in bytes_of(part.column(2)):
+                blocks = list(shingle_hashes(text, SHINGLE_WORDS, SEED))
+                found = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+                least = min_hashes(found) if len(found) else None
+                classes.append(_class_of(found))
+                prints.append(fingerprint_of_hashes(blocks))
+                sketches.append(signature(least) if least is not None else None)
+                bands.append(bands_of(least) if least is not None else [])
+            columns = [*part.columns[:2], pa.array(classes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "class", "fp", "sketch", "bands"])
+
+    return arrow_map(_named(df, id_col, text_col), over, "doc_id long, mark long, class long, fp long, sketch binary, bands array<long>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,12 +120,6 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataF
 # links -------------------------------------------------------------------------------------------
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are alike to the threshold or more."""
-    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("left")), sets.select(F.col("class").alias("b"), F.col("set").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(pruned_likeness(F.col("left"), F.col("right"), threshold) >= threshold).select("a", "b")
-
-
 def _seen_by_bits(classes: DataFrame) -> DataFrame:
     """(a, b): links between classes whose fingerprints operator 1 puts into one group, each with the least class of it."""
     rooted = classes.join(fingerprint_groups(classes.select("fp").distinct()), F.col("fp") == F.col("node"), "left").select("class", F.coalesce("root", "fp").alias("group"))
@@ -115,30 +128,109 @@ def _seen_by_bits(classes: DataFrame) -> DataFrame:
     return rooted.join(least, "group").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
 
 
-def _roots(members: DataFrame, sets: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """(node, root) for the classes that copy one another: by ``edges`` (a, b), or as members (bucket, class) of buckets with several classes."""
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For sketches as rows of bytes, the share in which each of ``a`` agrees with each of ``b``."""
+    out = np.empty((len(a), len(b)), np.float32)
+    for i in range(0, len(a), 64):
+        out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).mean(2, dtype=np.float32)
+    return out
+
+
+def _near(roots: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray], best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different roots that come out alike: all of them, or for each of the first its best."""
+    share = _agreement(*sketches)
+    share[roots[0][:, None] == roots[1][None, :]] = 0
+    if not best:
+        return np.nonzero(share >= ESTIMATE)
+    if not share.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = share.argmax(1)
+    some = np.flatnonzero(share[np.arange(len(at)), at] >= ESTIMATE)
+    return some, at[some]
+
+
+def candidates(members: DataFrame, best: bool) -> DataFrame:
+    """(a, b): pairs of classes of different roots that share a bucket and come out alike by their sketches; with ``best``, for each class of a bucket only the likest.
+
+    ``members`` has (bucket, blocks, class, root, sketch). A bucket of several blocks is compared by pairs of blocks.
+    """
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.withColumn("own", own).select("bucket", "own", other.alias("other"), "class", "root", "sketch")
+    first, last = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("bucket", first.alias("i"), last.alias("j"), (F.col("own") == first).alias("left"), "class", "root", "sketch")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for alone, left, classes, roots, sketches in _blocks(batches):
+            x = np.ones(len(left), bool) if alone else left
+            y = x if alone else ~left
+            i, j = _near((roots[x], roots[y]), (sketches[x], sketches[y]), best)
+            a, b = classes[x][i], classes[y][j]
+            if len(a):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    keys = ["bucket", "i", "j"]
+    whole = dealt.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
+    return whole.mapInArrow(over, "a long, b long").distinct()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of a sorted partition, one after the other: whether it is one block with itself, then a place for each member."""
+    held: list[tuple] = []
+    now = None
+
+    def joined() -> tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        left, classes, roots, sketches = (np.concatenate(x) for x in zip(*held))
+        return now[1] == now[2], left, classes, roots, sketches
+
+    for batch in batches:
+        bucket, i, j = (np.array(batch.column(c)) for c in (0, 1, 2))
+        left, classes, roots = (np.array(batch.column(c)) for c in (3, 4, 5))
+        sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(bucket), MIN_HASHES)
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+            key = (int(bucket[at]), int(i[at]), int(j[at]))
+            if held and key != now:
+                yield joined()
+                held.clear()
+            now = key
+            held.append((left[at:end], classes[at:end], roots[at:end], sketches[at:end]))
+    if held:
+        yield joined()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are alike to the threshold or more."""
+    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("left")), sets.select(F.col("class").alias("b"), F.col("set").alias("right"))
+    return pairs.join(left, "a").join(right, "b").where(pruned_likeness(F.col("left"), F.col("right"), threshold) >= threshold).select("a", "b")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their roots, of those buckets that still hold several groups."""
+    rooted = cut(members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "blocks", "class", F.coalesce("root", "class").alias("root"), "sketch"))
+    crowded = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return rooted.join(crowded, "bucket", "left_semi")
+
+
+def _roots(members: DataFrame, edges: DataFrame, sets_of, threshold: float) -> DataFrame:
+    """(node, root) for the classes that copy one another: by ``edges`` (a, b), or as members of one bucket.
+
+    First each class is compared with the likest one of each of its buckets, which brings a crowd of copies together at the cost of a pair for each of them;
+    then all pairs of groups that are still apart are compared, but for those that were.
+    """
     edges = cut(edges)
     roots = connected_components(edges)
-    for turn in range(STAR_ROUNDS + 1):
-        rooted = cut(members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", F.coalesce("root", "class").alias("root")))
-        sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-        crowded = sizes.where("inside < m * m")
-        row = crowded.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("members")).first()
-        if not row.pairs:
-            return roots
-        still = rooted.join(crowded.select("bucket"), "bucket")
-        last = turn == STAR_ROUNDS or row.pairs <= OPEN_PAIRS * row.members
-        if last:
-            hub = still.select("bucket", F.col("class").alias("hub"), F.col("root").alias("hub_root"))
-        else:
-            centre = F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("by"), F.col("class").alias("hub"), F.col("root").alias("hub_root")))
-            hub = still.groupBy("bucket").agg(centre.alias("c")).select("bucket", "c.hub", "c.hub_root")
-        open_pairs = still.join(hub, "bucket").where("root <> hub_root" + (" AND class < hub" if last else ""))
-        pairs = open_pairs.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-        edges = cut(edges.unionByName(_alike(pairs, sets, threshold)))
+    seen = None
+    for best in (True, False):
+        pairs = candidates(_open(members, roots), best)
+        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        seen = pairs
+        nodes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        edges = cut(edges.unionByName(_alike(pairs, sets_of(nodes), threshold)))
         roots = connected_components(edges)
-        if last:
-            return roots
     return roots
 
 
@@ -152,14 +244,16 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names, go with their rows; texts are taken whole, whatever their length.
     """
     rows = written(with_classes(df, id_col, text_col), "copies")
-    classes = rows.groupBy("class").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "mark")).alias("any"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("least"))
-    classes = cut(classes)
-    entries = rows.select("class", F.explode("bands").alias("bucket")).distinct()
-    several = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(entries.join(several, "bucket").select("bucket", "class"))
-    wanted = classes.join(members.select("class").distinct(), "class").select("any.doc_id", "any.mark")
-    sets = written(_sets(df, wanted, id_col, text_col), "sets")
-    roots = _roots(members, sets, _seen_by_bits(classes.select("class", "fp")), threshold)
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    classes = cut(rows.groupBy("class").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "mark")).alias("any"), least.alias("least"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("bands").alias("bands")))
+    entries = classes.select("class", F.explode("bands").alias("bucket"))
+    several = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = cut(entries.join(several, "bucket").join(classes.select("class", "sketch"), "class").select("bucket", "blocks", "class", "sketch"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return written(_sets(df, classes.join(nodes, "class").select("any.doc_id", "any.mark"), id_col, text_col), "sets")
+
+    roots = _roots(members, _seen_by_bits(classes.select("class", "fp")), sets_of, threshold)
     groups = classes.join(roots, classes["class"] == roots["node"], "left").select(F.coalesce("root", "class").alias("group"), "least")
     kept = cut(groups.groupBy("group").agg(F.min("least").alias("k")).where("k IS NOT NULL").select(F.col("k.doc_id").alias("_kept"), F.col("k.mark").alias("_mark")))
     twice = cut(rows.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("mark") == F.col("_mark"))).groupBy("_kept", "_mark").count().where("count > 1").select("_kept", "_mark"))
