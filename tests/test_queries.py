@@ -1,7 +1,7 @@
 import pytest
 
 from tests.conftest import SMALL, same_rows
-from tidemark import queries
+from tidemark import queries, queries_runs, queries_sql  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -532,15 +532,18 @@ def retention(spark, sf_dir):
 
 
 @query("""
-    SELECT 'DATA_DRIFT' AS category, s AS subject, CASE WHEN s::INTEGER <= 5 THEN 'NEW' ELSE 'REPEAT' END AS event FROM (SELECT unnest(['1','2','3','4','5','6','7']) AS s)
-    UNION ALL SELECT 'DATA_DRIFT', unnest(['90', '91']), 'RECOVERED'
+    SELECT 'DATA_DRIFT' AS category, n_name AS subject, CASE WHEN n_nationkey < 10 THEN 'NEW' WHEN n_nationkey < 15 THEN 'REPEAT' ELSE 'RECOVERED' END AS event
+    FROM nation WHERE n_nationkey <= 20 AND (n_nationkey < 10 OR n_nationkey >= 15 OR n_nationkey % 2 = 0)
 """)
 def alert_events(spark, sf_dir):
-    signals = spark.sql("SELECT 'DATA_DRIFT' AS category, CAST(id AS string) AS subject, 'd' AS detail FROM range(1, 9) UNION ALL SELECT 'DDL_SKIPPED', '1', 'd'")
-    state = spark.sql("""SELECT 'DATA_DRIFT' AS category, CAST(id AS string) AS subject, timestamp'2024-01-01 10:00:00' + make_dt_interval(0, IF(id = 8, 2, 0)) AS last_sent, true AS active FROM range(6, 9)
-        UNION ALL SELECT 'DATA_DRIFT', CAST(id AS string), timestamp'2024-01-01 10:00:00', true FROM range(90, 92) UNION ALL SELECT 'DDL_SKIPPED', '9', timestamp'2024-01-01 10:00:00', true""")
-    sent, _ = alerts.evaluate(signals, state, F.lit("2024-01-01 12:30:00").cast("timestamp"), 60, ("DATA_DRIFT",))
-    return sent.select("category", "subject", "event")
+    """Nations are subjects: some drift for the first time, some have been told of lately or long ago, some no longer drift."""
+    n = read(spark, sf_dir, "nation")
+    drift = n.where("n_nationkey < 15").select(F.lit("DATA_DRIFT").alias("category"), F.col("n_name").alias("subject"), F.lit("d").alias("detail"))
+    signals = drift.unionByName(drift).unionByName(n.limit(1).select(F.lit("DDL_SKIPPED").alias("category"), F.col("n_name").alias("subject"), F.lit("d").alias("detail")))
+    sent = F.when(F.col("n_nationkey") % 2 == 0, "2024-01-01 10:00:00").otherwise("2024-01-01 12:00:00").cast("timestamp")
+    state = n.where("n_nationkey BETWEEN 10 AND 20").select(F.lit("DATA_DRIFT").alias("category"), F.col("n_name").alias("subject"), sent.alias("last_sent"), F.lit(True).alias("active"))
+    found, _ = alerts.evaluate(signals, state, F.lit("2024-01-01 12:30:00").cast("timestamp"), 60, ("DATA_DRIFT",))
+    return found.select("category", "subject", "event")
 
 
 # tables, names and structure ---------------------------------------------------------------------

@@ -126,11 +126,11 @@ def order_stripped(spark, sf_dir):
     return spark.sql(f"SELECT o_orderstatus, count(*) AS n FROM ({inner}) GROUP BY 1")
 
 
-@query("SELECT o_orderkey, '1998-05-01' AS since, 'load 2024-02-29 202402 2' AS note, '${x}' AS kept FROM orders WHERE o_orderdate >= TIMESTAMP '1998-05-01'")
+@query("SELECT o_orderkey, '1998-05-01' AS since, 'load 2024-02-29 202402 2' AS note, '$x' AS kept FROM orders WHERE o_orderdate >= TIMESTAMP '1998-05-01'")
 def etl_variables(spark, sf_dir):
     """References are replaced once; built-in values come from the run's moment."""
     read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    values = built_in(datetime(2024, 3, 1, 8), "load", "t", 2) | definitions("from = 1998-05-01\nlit = '${x}'")
+    values = built_in(datetime(2024, 3, 1, 8), "load", "t", 2) | definitions("from = 1998-05-01\nlit = '$x'")
     return spark.sql(substitute("SELECT o_orderkey, '${from}' AS since, '${taskName} ${yesterday} 202402 ${runIndex}' AS note, ${lit} AS kept FROM orders WHERE o_orderdate >= TIMESTAMP '${from}'", values))
 
 
