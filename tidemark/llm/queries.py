@@ -32,6 +32,29 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(trick)))
 
 
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with typed parts made of their rows: users' turns hold an image between the halves of their text, every third turn ends with a recording."""
+    rows = _read(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text")
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    part = lambda kind, **given: F.struct(F.lit(kind).alias("kind"), *(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))))
+    place = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    image = part("image", ref=F.concat(place, F.lit(".png")), width=100 + 10 * F.col("turn"), height=F.lit(60))
+    sound = F.when(F.col("turn") % 3 == 2, F.array(part("audio", ref=F.concat(place, F.lit(".wav")), seconds=1.5 * F.col("turn")))).otherwise(F.array().cast(chat.PARTS))
+    shown = F.when(F.col("role") == "user", F.array(part("text", text=F.left(text, half)), image, part("text", text=F.substr(text, half + 1)))).otherwise(F.array(part("text", text=text)))
+    pieces = chat.format_conversations(rows.withColumn("parts", F.concat(shown, sound)), parts_col="parts")
+    chars = pieces.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("formatted_chars"), F.sum("n_turns").cast("long").alias("n_turns"))
+    held = pieces.select("conv_id", F.explode("attachments").alias("a"))
+    sums = held.groupBy("conv_id").agg(F.count("*").alias("n_attachments"), F.sum("a.tokens").cast("long").alias("tokens"), F.max("a.number").alias("last_number"), F.min("a.ref").alias("first_ref"), F.max("a.ref").alias("last_ref"))
+    return chars.join(sums, "conv_id", "left").withColumns({"n_attachments": F.coalesce("n_attachments", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
+
+
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by SpotSigs: for every document its class of equal fingerprints, and how many other classes are alike to 0.8 or more."""
+    members, pairs = spotsigs.similar_pairs(_read(spark, sf_dir, "documents"))
+    ends = pairs.select(F.col("left_id").alias("class_id")).unionByName(pairs.select(F.col("right_id").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return ordinal.graded(docs, ordinal.train(docs, ordinal.grades_of_labels(_read(spark, sf_dir, "labels"))))
@@ -80,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_pages": op9_pages,
     "op10_pii": op10_pii,
+    "chat_attachments": chat_attachments,
+    "spotsigs_links": spotsigs_links,
 }
 
 _COMMON = ", ".join(f"'{w}'" for w in spotsigs.ANCHORS)
@@ -157,4 +182,27 @@ ORACLE_SQL: dict[str, str] = {
                (size * least(3, whole + CASE WHEN upto <= rest OR (upto - together <= rest AND upto - rest < rest - (upto - together)) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM x
     """,
+    "chat_attachments": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        p AS (
+            SELECT *, 0 AS k, 'text' AS kind, CASE WHEN role = 'user' THEN left(text, length(text) // 2) ELSE text END AS body, 0 AS tokens, NULL AS ref FROM c
+            UNION ALL SELECT *, 1, 'image', '', (ceil((100 + 10 * turn) / 28.0) * 3)::BIGINT, conv_id || '/' || turn || '.png' FROM c WHERE role = 'user'
+            UNION ALL SELECT *, 2, 'text', substr(text, length(text) // 2 + 1), 0, NULL FROM c WHERE role = 'user'
+            UNION ALL SELECT *, 3, 'audio', '', greatest(1, ceil(1.5 * turn * 25))::BIGINT, conv_id || '/' || turn || '.wav' FROM c WHERE turn % 3 = 2
+        ), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind = 'text' ORDER BY turn, role, text, k) - 1 AS number FROM p),
+        l AS (SELECT *, CASE WHEN kind = 'text' THEN length(regexp_replace(body, '<(\\*)\|', '<\\\1|', 'g')) ELSE length('<|' || kind || ':' || number || '|>') END AS chars FROM n),
+        t AS (SELECT conv_id, count(*) AS n_turns, sum(length('<|im_start|>') + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>')) + 1 + length('<|im_end|>') + 1) AS around FROM c GROUP BY 1)
+        SELECT t.conv_id, (t.around + sum(chars))::BIGINT AS formatted_chars, t.n_turns, count(*) FILTER (WHERE kind <> 'text') AS n_attachments, sum(tokens)::BIGINT AS tokens,
+               max(number) FILTER (WHERE kind <> 'text') AS last_number, min(ref) AS first_ref, max(ref) AS last_ref
+        FROM t JOIN l ON l.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id, t.around, t.n_turns
+    """,
+    "spotsigs_links": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), t AS (SELECT DISTINCT x FROM d),
+        {_SPOTS.strip()},
+        m AS (SELECT d.doc_id, s.s FROM d JOIN s ON d.x = s.x), g AS (SELECT s, min(doc_id) AS class_id FROM m GROUP BY s),
+        u AS (SELECT class_id, len(s) AS n, unnest(s) AS spot FROM g),
+        i AS (SELECT a.class_id AS l, b.class_id AS r, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS common FROM u a JOIN u b ON a.spot = b.spot AND a.class_id < b.class_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY 1, 2),
+        e AS (SELECT unnest([l, r]) AS class_id FROM i WHERE common::DOUBLE / (x + y - common) >= 0.8), k AS (SELECT class_id, count(*) AS n_links FROM e GROUP BY 1)
+        SELECT m.doc_id, g.class_id, coalesce(k.n_links, 0) AS n_links FROM m JOIN g ON m.s = g.s LEFT JOIN k ON k.class_id = g.class_id
+    """,
 }
