@@ -81,6 +81,19 @@ def drop_table(table: str, allowed: bool) -> str | None:
     return f"DROP TABLE IF EXISTS {table}" if allowed else None
 
 
+def reseed(dialect: str, table: str, column: str, largest: int) -> str | None:
+    """A statement after which generated keys go on behind the largest one that was loaded; None where a dialect needs none."""
+    following = largest + 1
+    return {
+        "mysql": f"ALTER TABLE {table} AUTO_INCREMENT = {following}",
+        "postgres": f"SELECT setval(pg_get_serial_sequence('{table}', '{column}'), {largest})",
+        "sqlserver": f"DBCC CHECKIDENT ('{table}', RESEED, {largest})",
+        "oracle": f"ALTER TABLE {table} MODIFY {column} GENERATED BY DEFAULT AS IDENTITY (START WITH {following})",
+        "db2": f"ALTER TABLE {table} ALTER COLUMN {column} RESTART WITH {following}",
+        "derby": f"ALTER TABLE {table} ALTER COLUMN {column} RESTART WITH {following}",
+    }.get(dialect)
+
+
 def truncate(table: str) -> str:
     return f"TRUNCATE TABLE {table}"
 

@@ -11,9 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.cleanse import Rule, cleanse, cleansed_keys
-from ..operators.audit import row_count_audit
+from ..functions.cleanse import Rule, cleanse, cleansed_keys, hashed_columns
+from ..operators.audit import content_audit, row_count_audit
+from ..operators.capture import Strategy, probe
 from ..operators.cursor import Cursor, TableShape, choose_cursor, high_watermark, initial_bound, lagged, window
 from ..operators.merge import changed_rows, delete_surplus, last_per_key, repair_missing, upsert
 from ..sources.state import StateStore
@@ -29,6 +31,8 @@ class TablePlan:
     rules: Sequence[Rule] = ()
     deletes: bool = False
     lag_ms: int = 1_000
+    #: Rows whose content is compared after a cycle; 0: none.
+    content_sample: int = 0
 
 
 @dataclass
@@ -42,6 +46,7 @@ class Cycle:
     repaired: int | None = 0
     missing: int = 0
     surplus: int = 0
+    mismatched: int = 0
     notes: list[str] = field(default_factory=list)
 
 
@@ -97,6 +102,12 @@ def run_cycle(spark: SparkSession, plan: TablePlan, source: DataFrame, target: V
                 out.notes.append("too many rows are missing: the next cycle loads the table again")
                 return out
             target.replace(mended)
+    if plan.key and plan.content_sample and not cleansed_keys(plan.name, plan.key, plan.rules):
+        held = cleanse(source.where(bound) if bound is not None else source, plan.name, plan.rules)
+        seen = content_audit(held, target.current(), plan.key, plan.content_sample, hashed=hashed_columns(plan.name, plan.rules)).first()
+        out.mismatched = seen.mismatched
+        if seen.mismatched:
+            out.notes.append(f"{seen.mismatched} of {seen.sampled} sampled rows differ")
     if cursor.column and high is not None:
         state.write(mark, {"last": _moment(lagged(high, bool(plan.key), plan.lag_ms)), "column": cursor.column, "kind": cursor.kind})
     elif cursor.kind == "FULL_COMPARE":
@@ -104,12 +115,21 @@ def run_cycle(spark: SparkSession, plan: TablePlan, source: DataFrame, target: V
     return out
 
 
-def precheck(pairs: DataFrame, shapes: Sequence[TableShape], configured: dict[str, str]) -> list[tuple[str, str, str]]:
-    """(code, object, level) of what a project would meet: two sources for one target, tables without a cursor, cursors that miss updates."""
+def precheck(
+    pairs: DataFrame, shapes: Sequence[TableShape], configured: dict[str, str], targets: dict[str, T.StructType] | None = None, strategy: Strategy = Strategy.POLLING, source: str = "", settings: dict[str, str] | None = None
+) -> list[tuple[str, str, str]]:
+    """(code, object, level) of what a project would meet: two sources for one target, tables without a cursor, cursors that miss updates; targets that are
+    missing, lack columns or need some that nothing feeds, where ``targets`` are given; and what the source's settings lack for a log strategy, which needs no cursor but a key."""
     from ..operators.objects import mapping_conflicts
 
     out = [("MAPPING_CONFLICT", r.target, "ERROR") for r in mapping_conflicts(pairs).collect()]
+    out += [("CAPTURE", reason, "ERROR") for reason in probe(strategy, source, settings or {})]
     for shape in shapes:
+        if targets is not None:
+            out += _against(shape, {k.lower(): v for k, v in targets.items()}.get(shape.name.lower()))
+        if strategy.follows_log:
+            out += [] if shape.key else [("NO_KEY", shape.name, "ERROR")]
+            continue
         cursor = choose_cursor(shape, configured.get(shape.name))
         if cursor.kind == "NONE":
             out.append(("NO_CURSOR", shape.name, "WARNING"))
@@ -118,6 +138,14 @@ def precheck(pairs: DataFrame, shapes: Sequence[TableShape], configured: dict[st
     return out
 
 
+def _against(shape: TableShape, target: T.StructType | None) -> list[tuple[str, str, str]]:
+    if target is None:
+        return [("TARGET_MISSING", shape.name, "ERROR")]
+    have, need = {f.name.lower() for f in shape.schema}, {f.name.lower() for f in target}
+    out = [("COLUMN_SKIPPED", f"{shape.name}.{f.name}", "WARNING") for f in shape.schema if f.name.lower() not in need]
+    return out + [("NOT_NULL_UNFED", f"{shape.name}.{f.name}", "WARNING") for f in target if not f.nullable and f.name.lower() not in have]
+
+
 def chunked_load(spark: SparkSession, source: DataFrame, key: str, ranges: Sequence[tuple[Any, Any]], folder: str, state: StateStore, name: str, workers: int = 4) -> int:
     """A load in ranges that can be resumed, ``workers`` of them at once: each range is written as a folder of its own and noted when it is complete, a range that
     was cut short is written anew. Gives the ranges that were still open. The first failure is raised when the ranges that run have ended."""

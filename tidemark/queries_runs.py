@@ -312,14 +312,39 @@ def polling_cycles(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
     folder = _folder(spark, "cycle")
     state, target = StateStore(spark, f"{folder}/state"), cdc.VersionedTable(spark, folder, "orders")
-    plan = sync.TablePlan("orders", ["o_orderkey"], "o_orderdate", rules=[cleanse.Rule("orders", "o_orderpriority", "UPPER")], deletes=True)
+    plan = sync.TablePlan("orders", ["o_orderkey"], "o_orderdate", rules=[cleanse.Rule("orders", "o_orderpriority", "UPPER")], deletes=True, content_sample=50)
     older = replica(orders).where(F.col("o_orderdate") <= F.lit(LOW)).unionByName(orders.where("o_orderkey = -5"))
     sync.run_cycle(spark, plan, older, target, state)
     state.write("cursor-orders", {"last": {"moment": datetime(1900, 1, 1).isoformat()}, "column": "o_orderdate", "kind": "TIMESTAMP"})
-    sync.run_cycle(spark, plan, orders, target, state)
+    done = sync.run_cycle(spark, plan, orders, target, state)
+    if done.missing or done.surplus or done.mismatched:
+        raise ValueError(done)
     return target.current()
 
 
+@query("SELECT 'part.p_brand' AS object, 'COLUMN_SKIPPED' AS code UNION ALL SELECT 'part.filled', 'NOT_NULL_UNFED' UNION ALL SELECT 'nation', 'TARGET_MISSING' UNION ALL SELECT 'events', 'NO_KEY' UNION ALL SELECT 'wal_level is minimal, logical is needed', 'CAPTURE'")
+def log_precheck(spark, sf_dir):
+    """What a project that follows a log would meet, at its targets too."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand").schema
+    shapes = [cursor.TableShape("part", part, ["p_partkey"]), cursor.TableShape("nation", read(spark, sf_dir, "nation").schema, ["n_nationkey"]), cursor.TableShape("events", read(spark, sf_dir, "events").schema)]
+    targets = {"PART": T.StructType([part["p_partkey"], T.StructField("filled", T.LongType(), False)]), "events": read(spark, sf_dir, "events").schema}
+    pairs = spark.createDataFrame([("part", "part"), ("nation", "nation")], "source string, target string")
+    found = sync.precheck(pairs, shapes, {}, targets, capture.Strategy.PG_LOGICAL_CDC, "postgres", {"wal_level": "minimal", "replication": "on"})
+    return spark.createDataFrame([(o, c) for c, o, _ in found], "object string, code string")
+
+
+@query("SELECT max(o_orderkey) + 1 AS next_key FROM orders")
+def identity_reseeded(spark, sf_dir):
+    """Generated keys go on behind those that a first copy brought."""
+    from .dialect import types
+
+    _drop_derby(spark, "SEED_T")
+    jdbc.execute(spark, _URL, "CREATE TABLE SEED_T (ID BIGINT GENERATED BY DEFAULT AS IDENTITY, V INT)", **_DRIVER)
+    largest = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    jdbc.execute(spark, _URL, types.reseed("derby", "SEED_T", "ID", largest), "INSERT INTO SEED_T (V) VALUES 1", **_DRIVER)
+    return jdbc.read_table(spark, _URL, "SEED_T", **_DRIVER).select(F.col("ID").alias("next_key"))
+
+
 @query("SELECT * FROM (VALUES ('MAPPING_CONFLICT', 'X', 'ERROR'), ('MISSES_UPDATES', 'part', 'WARNING'), ('NO_CURSOR', 'lineitem', 'WARNING')) t(code, object, level)")
 def project_precheck(spark, sf_dir):
     pairs = spark.createDataFrame([("a", "x"), ("b", "X"), ("c", "y")], "source string, target string")

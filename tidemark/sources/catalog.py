@@ -24,6 +24,13 @@ def estimated_rows(spark: SparkSession, table: str) -> int | None:
     return int(rows[1]) if rows else None
 
 
+def estimated_bytes(spark: SparkSession, table: str) -> int | None:
+    """Bytes by catalogue statistics; None where there are none."""
+    told = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Statistics'").select("data_type").first()
+    size = re.search(r"(\d+) bytes", told[0]) if told else None
+    return int(size[1]) if size else None
+
+
 def analyse(spark: SparkSession, table: str) -> None:
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
 
