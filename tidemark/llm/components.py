@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_partitions
+
+#: Edges that a file of the checkpointed table holds at least.
+FILE_EDGES = 100_000
 
 
 def contract(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,15 +40,18 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     high, low = F.greatest(left, right), F.least(left, right)
     stars = cut(edges.select(high.alias("node"), low.alias("root")).where("node <> root").distinct())
     seen = _digest(stars)
+    files = 1 + seen[0] // FILE_EDGES
+    if files < shuffle_partitions(edges.sparkSession):  # a small table in few files, whatever the number of partitions
+        few = lambda df: df.coalesce(files)
+    else:
+        few = lambda df: df
     while True:
         both = stars.unionByName(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("least"))
         large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root")).distinct()
         lower = large.groupBy("node").agg(F.min("root").alias("least"))
         small = large.join(lower, "node")
-        stars = cut(
-            small.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(small.select("node", F.col("least").alias("root"))).distinct()
-        )
+        stars = cut(few(small.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(small.select("node", F.col("least").alias("root"))).distinct()))
         now = _digest(stars)
         if now == seen:
             return stars

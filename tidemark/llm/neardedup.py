@@ -123,7 +123,6 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataF
 def _seen_by_bits(classes: DataFrame) -> DataFrame:
     """(a, b): links between classes whose fingerprints operator 1 puts into one group, each with the least class of it."""
     rooted = classes.join(fingerprint_groups(classes.select("fp").distinct()), F.col("fp") == F.col("node"), "left").select("class", F.coalesce("root", "fp").alias("group"))
-    rooted = cut(rooted)
     least = rooted.groupBy("group").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rooted.join(least, "group").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
 
@@ -208,7 +207,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their roots, of those buckets that still hold several groups."""
-    rooted = cut(members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "blocks", "class", F.coalesce("root", "class").alias("root"), "sketch"))
+    rooted = members.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "blocks", "class", F.coalesce("root", "class").alias("root"), "sketch")
     crowded = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     return rooted.join(crowded, "bucket", "left_semi")
 
