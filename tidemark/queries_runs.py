@@ -536,6 +536,7 @@ def collection_move(spark, sf_dir):
 
 # over JDBC ---------------------------------------------------------------------------------------
 
+#: A database in this process, which sessions on one machine can reach.
 _URL = "jdbc:derby:memory:tidemark;create=true"
 _DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
