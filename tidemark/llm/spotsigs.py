@@ -2,7 +2,7 @@
 
 Every occurrence of a common word (an anchor) opens a chain: the next CHAIN content words, those
 that are no anchors, at DISTANCE from one another. A content word that has no anchor among the FAR words before it
-opens a chain itself, so that lists, tables and other languages are covered too. A text's fingerprint is the set of its chains,
+opens a chain itself, under the mark "*": an addition to SpotSigs, so that lists, tables and other languages are covered too. A text's fingerprint is the set of its chains,
 each with its anchor. Two texts are as like as the Jaccard similarity of their sets. Everything here is
 built from column functions; arrays never leave their row before they are sets of chains.
 """
