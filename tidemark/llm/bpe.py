@@ -37,6 +37,8 @@ COUNTED = 300_000
 SPLIT_BELOW = 4
 #: Characters of text after which a chunk of texts is closed, and of a long text that are split into words at once.
 CHUNK_CHARS, SEGMENT_CHARS = 1 << 22, 1 << 20
+#: Chunks of a task that are put together at once.
+GROUP_CHUNKS = 8
 #: Parts that other words are dealt to, for each shuffle partition; words of a part whose ids are kept at once.
 PARTS, KNOWN = 4, 500_000
 #: Spark allows so many buckets of a table.
@@ -203,8 +205,8 @@ def _as_arrays(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))], ["doc_id", "ids"])
 
 
-_SPLIT = "task int, chunk int, part int, docs array<long>, sizes binary, data binary"
-_SPLIT_TYPES = pa.schema([("task", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary())])
+_SPLIT = "task long, chunk int, part int, docs array<long>, sizes binary, data binary"
+_SPLIT_TYPES = pa.schema([("task", pa.int64()), ("chunk", pa.int32()), ("part", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("data", pa.binary())])
 
 
 def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", finish: Finish = _as_arrays, schema: str = "doc_id long, ids array<int>") -> DataFrame:
@@ -214,7 +216,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     empty result; other columns, whatever their names, are ignored; ``finish`` makes other columns of the ids where they are put together; special tokens
     inside a text have their own ids. Neither a text nor a word is cut: a long text is split at words, and a long word stays whole.
 
-    Texts are split once, and what they are split into is written to the shared folder, in a table bucketed by the task that split them; so a lost executor
+    Texts are split once, and what they are split into is written to the shared folder, in a table bucketed by the task that split them and by GROUP_CHUNKS of its chunks; so a lost executor
     can't bring ids to other rows, and ranks aren't shuffled: only words that aren't hot, and their ids, move.
     """
     spark = df.sparkSession
@@ -234,7 +236,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
         """Of each chunk of texts, a record with the ranks of its words, and one for each part with the words that aren't hot, each once."""
         if not ranks_of:
             ranks_of.update((w, i) for i, w in enumerate(shared.value[1]))
-        get, task, number = ranks_of.get, TaskContext.get().partitionId(), 0
+        get, first, number = ranks_of.get, TaskContext.get().partitionId() << 32, 0
         docs: list = []
         sizes: list[int] = []
         ranks: list[np.ndarray] = []
@@ -247,7 +249,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             return found
 
         def closed() -> pa.RecordBatch:
-            words = list(other)
+            words, task = list(other), first + number // GROUP_CHUNKS
             part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
             order = np.argsort(part, kind="stable")
             place = np.empty(len(words), np.int64)
@@ -303,7 +305,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["task", "chunk", "part", "data"])
 
     def joined(own: pa.Table, answers: pa.Table) -> pa.Table:
-        """The chunks of one task with the ids of their other words."""
+        """Some chunks of one task with the ids of their other words."""
         _, _, hot_size, hot_flat = shared.value
         answers = answers.sort_by([("chunk", "ascending"), ("part", "ascending")])
         found: dict[int, list[bytes]] = {}
@@ -332,7 +334,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     table = spark.table(name)
     empty = finish([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     asked = table.where(F.col("part") < _LAST).select("task", "chunk", "part", "data").repartition(n, "part").sortWithinPartitions("part")
-    answers = asked.mapInArrow(encoded, "task int, chunk int, part int, data binary")
+    answers = asked.mapInArrow(encoded, "task long, chunk int, part int, data binary")
     return table.where(F.col("part") == _LAST).groupBy("task").cogroup(answers.groupBy("task")).applyInArrow(joined, schema)
 
 
