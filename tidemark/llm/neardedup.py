@@ -135,21 +135,22 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(roots: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray], best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of different roots that come out alike: all of them, or for each of the first its best."""
+def _near(roots: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray], best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and shares of pairs of different roots that come out alike: all of them, or for each of the first its best."""
     share = _agreement(*sketches)
     share[roots[0][:, None] == roots[1][None, :]] = 0
-    if not best:
-        return np.nonzero(share >= ESTIMATE)
     if not share.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = share.argmax(1)
-    some = np.flatnonzero(share[np.arange(len(at)), at] >= ESTIMATE)
-    return some, at[some]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    if best:
+        j = share.argmax(1)
+        i = np.flatnonzero(share[np.arange(len(j)), j] >= ESTIMATE)
+        return i, j[i], share[i, j[i]]
+    i, j = np.nonzero(share >= ESTIMATE)
+    return i, j, share[i, j]
 
 
 def candidates(members: DataFrame, best: bool) -> DataFrame:
-    """(a, b): pairs of classes of different roots that share a bucket and come out alike by their sketches; with ``best``, for each class of a bucket only the likest.
+    """(a, b): pairs of classes of different roots that share a bucket and come out alike by their sketches; with ``best``, for each class only the likest.
 
     ``members`` has (bucket, blocks, class, root, sketch). A bucket of several blocks is compared by pairs of blocks.
     """
@@ -163,15 +164,19 @@ def candidates(members: DataFrame, best: bool) -> DataFrame:
         for alone, left, classes, roots, sketches in _blocks(batches):
             x = np.ones(len(left), bool) if alone else left
             y = x if alone else ~left
-            i, j = _near((roots[x], roots[y]), (sketches[x], sketches[y]), best)
+            i, j, share = _near((roots[x], roots[y]), (sketches[x], sketches[y]), best)
             a, b = classes[x][i], classes[y][j]
+            if not best and alone:  # each pair comes from both of its ends
+                a, b, share = a[i < j], b[i < j], share[i < j]
             if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share)], ["a", "b", "share"])
 
     keys = ["bucket", "i", "j"]
     whole = dealt.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
-    return whole.mapInArrow(over, "a long, b long").distinct()
+    found = whole.mapInArrow(over, "a long, b long, share float")
+    if best:
+        found = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", "m.b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
