@@ -536,7 +536,7 @@ def collection_move(spark, sf_dir):
 
 # over JDBC ---------------------------------------------------------------------------------------
 
-#: A database in this process, which sessions on one machine can reach.
+#: A database in the driver's process; rows from and to executors in other processes go through the driver.
 _URL = "jdbc:derby:memory:tidemark;create=true"
 _DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
