@@ -54,6 +54,26 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_edge_tables_take_no_rounds(spark, monkeypatch):
+    chain = [(7 * i % 3001, 7 * (i + 1) % 3001) for i in range(3000)] + [(5000 + i, 5000 + i // 2) for i in range(1, 900)] + [(-3, -9), (2**62, -9)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    context = spark.sparkContext
+
+    def jobs_of():
+        context.setJobGroup(name := f"components-{components.FILE_EDGES}", "")
+        try:
+            found = components.connected_components(edges)
+            return dict(found.collect()), len(context.statusTracker().getJobIdsForGroup(name))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    whole, few = jobs_of()
+    assert set(whole.values()) == {0, 5000, -9} and len(whole) == 3000 + 899 + 2
+    monkeypatch.setattr(components, "FILE_EDGES", 1000)
+    rounds, many = jobs_of()
+    assert rounds == whole and few <= 12 < many
+
+
 def brute_groups(rows):
     prints = [(i, simhash.fingerprint_of((t or "").encode())) for i, t in rows]
     groups = []

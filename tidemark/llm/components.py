@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, shuffle_partitions
 
@@ -35,12 +39,15 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     Alternating large-star and small-star steps over the edge table. A step groups by node with a
     minimum, which is partly computed before the shuffle, and joins that minimum back, which
     adaptive execution splits for a node with very many edges; no step gathers a node's neighbours.
-    The edge table is checkpointed after each round. An empty edge table gives an empty result.
+    The edge table is checkpointed after each round. A table that fits one file, of FILE_EDGES edges at most, is contracted by the task that reads it, which
+    ends the rounds before the first. An empty edge table gives an empty result.
     """
     high, low = F.greatest(left, right), F.least(left, right)
     stars = cut(edges.select(high.alias("node"), low.alias("root")).where("node <> root").distinct())
     seen = _digest(stars)
     files = 1 + seen[0] // FILE_EDGES
+    if files == 1 and stars.schema["node"].dataType == T.LongType():
+        return cut(stars.coalesce(1).mapInArrow(_forest, "node long, root long"))
     if files < shuffle_partitions(edges.sparkSession):  # a small table in few files, whatever the number of partitions
         few = lambda df: df.coalesce(files)
     else:
@@ -58,6 +65,14 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         seen = now
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a whole table, as a forest."""
+    held = [(np.array(batch.column(0)), np.array(batch.column(1))) for batch in batches if batch.num_rows]
+    if held:
+        nodes, roots = contract(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["node", "root"])
+
+
 def _digest(stars: DataFrame) -> tuple:
     row = stars.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
     return tuple(row)
