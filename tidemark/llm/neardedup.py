@@ -4,7 +4,7 @@ Texts with equal sets of shingles, runs of SHINGLE_WORDS words, form a class. Gr
 are linked through anchor points where they differ in few bits. Bits see only the closest copies, though: at a Jaccard similarity of 0.8 over
 shingles two fingerprints differ in about 10 of 64 bits, and anchors for so wide a threshold would have every fingerprint copied to most of
 them. So the links between likenesses of THRESHOLD and what bits see come from min-hashes: classes that agree in a band of
-them meet in a bucket, members of a bucket are compared by all their min-hashes, and pairs that come out alike enough, and aren't in one group
+them meet in a bucket, members of a bucket are compared by all their min-hashes, and those that come out alike enough, and aren't in one group
 already, are compared by their whole sets. Nothing is capped: a large bucket is compared in blocks, which become tasks of their own.
 
 What is left to chance: two classes of likeness THRESHOLD meet in no band with a probability of about 1e-6, and less if they are more alike; and
@@ -33,8 +33,8 @@ THRESHOLD = 0.8
 MIN_HASHES, BANDS, ROWS = 160, 60, 6
 #: Pairs whose min-hashes agree in a smaller share aren't compared by their sets.
 ESTIMATE = 0.65
-#: Members of a bucket that are compared at once.
-BLOCK = 2048
+#: Members of a bucket that are compared at once; shingles of members whose sets are compared at once.
+BLOCK, BLOCK_ENTRIES = 2048, 1 << 20
 
 
 # sets --------------------------------------------------------------------------------------------
@@ -135,63 +135,128 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(roots: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray], best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and shares of pairs of different roots that come out alike: all of them, or for each of the first its best."""
+def _shares(roots: tuple[np.ndarray, np.ndarray], sketches: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """As _agreement(), or 0 for members of one root."""
     share = _agreement(*sketches)
     share[roots[0][:, None] == roots[1][None, :]] = 0
-    if not share.size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    if best:
-        j = share.argmax(1)
-        i = np.flatnonzero(share[np.arange(len(j)), j] >= ESTIMATE)
-        return i, j[i], share[i, j[i]]
-    i, j = np.nonzero(share >= ESTIMATE)
-    return i, j, share[i, j]
+    return share
 
 
-def candidates(members: DataFrame, best: bool) -> DataFrame:
-    """(a, b): pairs of classes of different roots that share a bucket and come out alike by their sketches; with ``best``, for each class only the likest.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of buckets, dealt out in blocks; each pair of blocks of a bucket stands together, in (bucket, i, j).
 
-    ``members`` has (bucket, blocks, class, root, sketch). A bucket of several blocks is compared by pairs of blocks.
+    ``members`` has (bucket, blocks, class, root, sketch), and may have a set at the end.
     """
+    rest = [c for c in members.columns if c not in ("bucket", "blocks")]
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("own", own).select("bucket", "own", other.alias("other"), "class", "root", "sketch")
+    dealt = members.withColumn("own", own).select("bucket", "own", other.alias("other"), *rest)
     first, last = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select("bucket", first.alias("i"), last.alias("j"), (F.col("own") == first).alias("left"), "class", "root", "sketch")
+    dealt = dealt.select("bucket", first.alias("i"), last.alias("j"), (F.col("own") == first).alias("left"), *rest)
+    keys = ["bucket", "i", "j"]
+    return dealt.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for alone, left, classes, roots, sketches in _blocks(batches):
-            x = np.ones(len(left), bool) if alone else left
-            y = x if alone else ~left
-            i, j, share = _near((roots[x], roots[y]), (sketches[x], sketches[y]), best)
-            a, b = classes[x][i], classes[y][j]
-            if not best and alone:  # each pair comes from both of its ends
-                a, b, share = a[i < j], b[i < j], share[i < j]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share)], ["a", "b", "share"])
 
-    keys = ["bucket", "i", "j"]
-    whole = dealt.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
-    found = whole.mapInArrow(over, "a long, b long, share float")
-    if best:
-        found = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", "m.b")
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b): for each class in a bucket, the pair with the likest class of another root by their sketches, if they come out alike.
+
+    ``members`` has (bucket, blocks, class, root, sketch). A bucket of several blocks is compared by pairs of blocks.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y, classes, roots, sketches, _ in _blocks(batches):
+            share = _shares((roots[x], roots[y]), (sketches[x], sketches[y]))
+            if share.size:
+                j = share.argmax(1)
+                best = share[np.arange(len(j)), j]
+                i = np.flatnonzero(best >= ESTIMATE)
+                yield pa.RecordBatch.from_arrays([pa.array(classes[x][i]), pa.array(classes[y][j[i]]), pa.array(best[i])], ["a", "b", "share"])
+
+    found = _dealt(members).mapInArrow(over, "a long, b long, share float")
+    found = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", "m.b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of a sorted partition, one after the other: whether it is one block with itself, then a place for each member."""
+def crowded(members: DataFrame) -> DataFrame:
+    """(bucket, class, root, sketch): the members that come out alike with one of another root in their bucket."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, x, y, classes, roots, sketches, _ in _blocks(batches):
+            near = _shares((roots[x], roots[y]), (sketches[x], sketches[y])) >= ESTIMATE
+            some = np.union1d(x[near.any(1)], y[near.any(0)])
+            if len(some):
+                sketch = pa.array([k.tobytes() for k in sketches[some]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), bucket)), pa.array(classes[some]), pa.array(roots[some]), sketch], ["bucket", "class", "root", "sketch"])
+
+    return _dealt(members).mapInArrow(over, "bucket long, class long, root long, sketch binary").dropDuplicates(["bucket", "class"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, near: np.ndarray, roots: np.ndarray, sets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Places of pairs whose sets are alike, of those that are ``near``: enough of them to join the groups that all of them join."""
+    words, ids = np.unique(np.concatenate(list(sets[y])), return_inverse=True)
+    sizes = np.array([len(v) for v in sets])
+    ends = np.cumsum(sizes[y])
+    starts, group, held = ends - sizes[y], np.unique(roots, return_inverse=True)[1], np.zeros(len(words), bool)
+    out = []
+    for i, a in enumerate(x):
+        js = np.flatnonzero(near[i])
+        js = js[(group[y[js]] != group[a]) & (np.minimum(sizes[y[js]], sizes[a]) >= threshold * np.maximum(sizes[y[js]], sizes[a]))]
+        if not len(js):
+            continue
+        at = np.minimum(np.searchsorted(words, sets[a]), len(words) - 1)
+        at = at[words[at] == sets[a]]
+        held[at] = True
+        for j in js:
+            b = y[j]
+            if group[a] != group[b]:
+                both = np.count_nonzero(held[ids[starts[j] : ends[j]]])
+                if both / (sizes[a] + sizes[b] - both) >= threshold:
+                    out.append((a, b))
+                    group[group == group[b]] = group[a]
+        held[at] = False
+    return out
+
+
+def verified(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join all classes of a bucket whose sets are alike, a forest for each pair of blocks.
+
+    ``members`` has (bucket, class, root, sketch), ``sets`` (class, set). Blocks hold about BLOCK_ENTRIES shingles, so that long texts make small blocks.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, y, classes, roots, sketches, held in _blocks(batches):
+            if len(x) and len(y):
+                near = _shares((roots[x], roots[y]), (sketches[x], sketches[y])) >= ESTIMATE
+                pairs = _linked(x, y, near, roots, held, threshold)
+                if pairs:
+                    a, b = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([pa.array(classes[a]), pa.array(classes[b])], ["a", "b"])
+
+    rows = members.join(sets, "class")
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(F.size("set")) / BLOCK_ENTRIES).cast("int").alias("blocks"))
+    return _dealt(rows.join(blocks, "bucket").select("bucket", "blocks", "class", "root", "sketch", "set")).mapInArrow(over, "a long, b long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Pairs of blocks of a sorted partition, one after the other: the bucket, the places of its two sides (the same for a block with itself), then class,
+    root, sketch and, where there are any, set of each place."""
     held: list[tuple] = []
     now = None
 
-    def joined() -> tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        left, classes, roots, sketches = (np.concatenate(x) for x in zip(*held))
-        return now[1] == now[2], left, classes, roots, sketches
+    def joined() -> tuple:
+        left, classes, roots, sketches, sets = (np.concatenate(x) for x in zip(*held))
+        every = np.arange(len(left))
+        x, y = (every, every) if now[1] == now[2] else (every[left], every[~left])
+        return now[0], x, y, classes, roots, sketches, sets
 
     for batch in batches:
         bucket, i, j = (np.array(batch.column(c)) for c in (0, 1, 2))
         left, classes, roots = (np.array(batch.column(c)) for c in (3, 4, 5))
         sketches = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(bucket), MIN_HASHES)
+        sets = np.empty(len(bucket), object)
+        if batch.num_columns > 7:
+            for k, v in enumerate(batch.column(7)):
+                sets[k] = np.array(v.values)
         cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
         for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
             key = (int(bucket[at]), int(i[at]), int(j[at]))
@@ -199,7 +264,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarra
                 yield joined()
                 held.clear()
             now = key
-            held.append((left[at:end], classes[at:end], roots[at:end], sketches[at:end]))
+            held.append((left[at:end], classes[at:end], roots[at:end], sketches[at:end], sets[at:end]))
     if held:
         yield joined()
 
@@ -221,20 +286,17 @@ def _roots(members: DataFrame, edges: DataFrame, sets_of, threshold: float) -> D
     """(node, root) for the classes that copy one another: by ``edges`` (a, b), or as members of one bucket.
 
     First each class is compared with the likest one of each of its buckets, which brings a crowd of copies together at the cost of a pair for each of them;
-    then all pairs of groups that are still apart are compared, but for those that were.
+    then the groups that are still apart are compared within their buckets by their sets, and a block gives back a forest, not pairs.
     """
-    edges = cut(edges)
+    both = lambda roots, more: roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = connected_components(edges)
-    seen = None
-    for best in (True, False):
-        pairs = candidates(_open(members, roots), best)
-        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        seen = pairs
+    pairs = cut(candidates(_open(members, roots)))
+    if not pairs.isEmpty():
         nodes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        edges = cut(edges.unionByName(_alike(pairs, sets_of(nodes), threshold)))
-        roots = connected_components(edges)
+        roots = connected_components(both(roots, _alike(pairs, sets_of(nodes), threshold)))
+    left = cut(crowded(_open(members, roots)))
+    if not left.isEmpty():
+        roots = connected_components(both(roots, verified(left, sets_of(left.select("class").distinct()), threshold)))
     return roots
 
 
