@@ -35,6 +35,8 @@ MIN_HASHES, BANDS, ROWS = 160, 60, 6
 ESTIMATE = 0.65
 #: Members of a bucket that are compared at once; shingles of members whose sets are compared at once.
 BLOCK, BLOCK_ENTRIES = 2048, 1 << 20
+#: Others that a member may meet in a block and still be compared by pairs.
+FEW = 4
 
 
 # sets --------------------------------------------------------------------------------------------
@@ -178,17 +180,20 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """(bucket, class, root, sketch): the members that come out alike with one of another root in their bucket."""
+    """(bucket, class, root, sketch, other): what comes out alike with a class of another root in its bucket. A member that meets FEW of them or fewer in a block
+    gives its pairs, without a sketch; any other gives itself, without an ``other``. So a pair is there, or both of its ends are."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, x, y, classes, roots, sketches, _ in _blocks(batches):
             near = _shares((roots[x], roots[y]), (sketches[x], sketches[y])) >= ESTIMATE
-            some = np.union1d(x[near.any(1)], y[near.any(0)])
-            if len(some):
-                sketch = pa.array([k.tobytes() for k in sketches[some]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), bucket)), pa.array(classes[some]), pa.array(roots[some]), sketch], ["bucket", "class", "root", "sketch"])
+            for here, there, met in ((x, y, near), (y, x, near.T)):
+                n = met.sum(1)
+                i, j = np.nonzero(met & (n <= FEW)[:, None])
+                some, other = np.concatenate([here[i], here[n > FEW]]), [*classes[there[j]].tolist(), *[None] * int((n > FEW).sum())]
+                sketch = pa.array([sketches[k].tobytes() if o is None else None for k, o in zip(some, other)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), bucket, np.int64)), pa.array(classes[some]), pa.array(roots[some]), sketch, pa.array(other, pa.int64())], ["bucket", "class", "root", "sketch", "other"])
 
-    return _dealt(members).mapInArrow(over, "bucket long, class long, root long, sketch binary").dropDuplicates(["bucket", "class"])
+    return _dealt(members).mapInArrow(over, "bucket long, class long, root long, sketch binary, other long").dropDuplicates(["bucket", "class", "other"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, near: np.ndarray, roots: np.ndarray, sets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -286,17 +291,21 @@ def _roots(members: DataFrame, edges: DataFrame, sets_of, threshold: float) -> D
     """(node, root) for the classes that copy one another: by ``edges`` (a, b), or as members of one bucket.
 
     First each class is compared with the likest one of each of its buckets, which brings a crowd of copies together at the cost of a pair for each of them;
-    then the groups that are still apart are compared within their buckets by their sets, and a block gives back a forest, not pairs.
+    then all that comes out alike and is still apart: members that meet few others by pairs, but for those that were, and crowds within
+    their buckets by their sets, where a block gives back a forest, not pairs.
     """
     both = lambda roots, more: roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = connected_components(edges)
-    pairs = cut(candidates(_open(members, roots)))
-    if not pairs.isEmpty():
-        nodes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        roots = connected_components(both(roots, _alike(pairs, sets_of(nodes), threshold)))
+    seen = cut(candidates(_open(members, roots)))
+    if not seen.isEmpty():
+        nodes = seen.select(F.col("a").alias("class")).unionByName(seen.select(F.col("b").alias("class"))).distinct()
+        roots = connected_components(both(roots, _alike(seen, sets_of(nodes), threshold)))
     left = cut(crowded(_open(members, roots)))
     if not left.isEmpty():
-        roots = connected_components(both(roots, verified(left, sets_of(left.select("class").distinct()), threshold)))
+        pairs = left.where("other IS NOT NULL").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+        pairs, crowd = cut(pairs.join(seen, ["a", "b"], "left_anti")), left.where("other IS NULL").drop("other")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(crowd.select("class")).distinct())
+        roots = connected_components(both(roots, _alike(pairs, sets, threshold).unionByName(verified(crowd, sets, threshold))))
     return roots
 
 
