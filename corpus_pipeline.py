@@ -34,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of every document: its token ids, and the text that they give back. Null texts have no ids and give back the empty text."""
-    spec = tokenizer_spec()
-    return bpe.decode(bpe.encode(docs, spec), spec).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode_decode(docs, tokenizer_spec()).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

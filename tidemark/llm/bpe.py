@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, shuffle_partitions, sliced, texts_of
+from .common import cut, release, shared_path, shuffle_partitions, sliced, texts_of
 from .wordtable import heaviest
 
 #: Words of the table that goes to every executor, and those that a task puts forward for it.
@@ -37,8 +37,10 @@ COUNTED = 300_000
 SPLIT_BELOW = 4
 #: Characters of text after which a chunk of texts is closed, and of a long text that are split into words at once.
 CHUNK_CHARS, SEGMENT_CHARS = 1 << 22, 1 << 20
-#: Chunks of a task that are put together at once.
-GROUP_CHUNKS = 8
+#: Chunks of a task that are put together at once, and words of theirs whose ids are; a longer document's are put together whole.
+GROUP_CHUNKS, RUN_WORDS = 8, 1 << 18
+#: Numbers that are made bytes, or read from bytes, at once.
+BLOCK = 1 << 17
 #: Parts that other words are dealt to, for each shuffle partition; words of a part whose ids are kept at once.
 PARTS, KNOWN = 4, 500_000
 #: Spark allows so many buckets of a table.
@@ -101,14 +103,17 @@ def _encode(tokenizer: Any, words: list[str]) -> list[list[int]]:
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2 ** 35 in one to five bytes each, seven bits a byte, the last one below 128."""
-    x = numbers.astype(np.uint64)
+    return b"".join(_packed(numbers[i : i + BLOCK].astype(np.uint64)) for i in range(0, len(numbers), BLOCK))
+
+
+def _packed(x: np.ndarray) -> bytes:
     size = np.ones(len(x), np.int64)
     for k in range(1, 5):
         size += x >= 1 << 7 * k
     end = np.cumsum(size)
-    out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    out = np.empty(int(end[-1]), np.uint8)
     start = end - size
-    for k in range(int(size.max()) if len(x) else 0):
+    for k in range(int(size.max())):
         some = np.flatnonzero(size > k)
         part = (x[some] >> np.uint64(7 * k)) & np.uint64(127)
         out[start[some] + k] = np.where(size[some] > k + 1, part | np.uint64(128), part)
@@ -120,12 +125,16 @@ def unpacked(data: bytes) -> np.ndarray:
     last = np.flatnonzero(raw < 128)
     if len(last) == len(raw):
         return raw.astype(np.int64)
-    start = np.concatenate([[0], last[:-1] + 1])
-    size = last - start + 1
     out = np.zeros(len(last), np.int64)
-    for k in range(int(size.max())):
-        some = np.flatnonzero(size > k)
-        out[some] |= (raw[start[some] + k] & 127).astype(np.int64) << 7 * k
+    begin = 0
+    for i in range(0, len(last), BLOCK):
+        end, part = last[i : i + BLOCK], out[i : i + BLOCK]
+        start = np.concatenate([[begin], end[:-1] + 1])
+        size = end - start + 1
+        for k in range(int(size.max())):
+            some = np.flatnonzero(size > k)
+            part[some] |= (raw[start[some] + k] & 127).astype(np.int64) << 7 * k
+        begin = int(end[-1]) + 1
     return out
 
 
@@ -160,6 +169,7 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
     special = special_tokens(spec)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts: Counter[str] = Counter()
         for batch in sliced(batches):
             for text in texts_of(batch.column(0)):
@@ -196,13 +206,26 @@ def segments(text: str, special: list[str], most: int = SEGMENT_CHARS) -> Iterat
         at = end
 
 
+def runs_of(last: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Documents whose words end at ``last``, in runs of ``most`` words at most; one with more is a run of its own."""
+    a = at = 0
+    while a < len(last):
+        b = max(a + 1, int(np.searchsorted(last, at + most, "right")))
+        yield a, b
+        a, at = b, int(last[b - 1])
+
+
 #: Makes columns of documents, the places where their ids end, and all ids.
 Finish = Callable[[list, np.ndarray, np.ndarray], pa.RecordBatch]
 
 
-def _as_arrays(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _lists(ends: np.ndarray, ids: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))], ["doc_id", "ids"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))
+
+
+def _as_arrays(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _lists(ends, ids)], ["doc_id", "ids"])
 
 
 _SPLIT = "task long, chunk int, part int, docs array<long>, sizes binary, data binary"
@@ -226,16 +249,17 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     ready = _encode(tokenizer_of(spec), hot)  # once, here: HOT words at most
     many, flat = np.array([len(x) for x in ready], np.int64), np.fromiter(chain.from_iterable(ready), np.int32)
     del ready
-    shared = spark.sparkContext.broadcast((spec, hot, many, flat))
+    shared_spec, shared_hot, shared_ids = map(spark.sparkContext.broadcast, (spec, hot, (many, flat)))  # apart, so that a worker holds what its task needs
     n = shuffle_partitions(spark)
-    chunk_chars, segment_chars = CHUNK_CHARS, SEGMENT_CHARS
+    chunk_chars, segment_chars, run_words = CHUNK_CHARS, SEGMENT_CHARS, RUN_WORDS
     none, parts, code = len(hot), PARTS * n, "H" if len(pieces_of(spec)) <= 1 << 16 else "I"
     ranks_of: dict[str, int] = {}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each chunk of texts, a record with the ranks of its words, and one for each part with the words that aren't hot, each once."""
+        release()
         if not ranks_of:
-            ranks_of.update((w, i) for i, w in enumerate(shared.value[1]))
+            ranks_of.update((w, i) for i, w in enumerate(shared_hot.value))
         get, first, number = ranks_of.get, TaskContext.get().partitionId() << 32, 0
         docs: list = []
         sizes: list[int] = []
@@ -254,8 +278,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             order = np.argsort(part, kind="stable")
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            rank = np.concatenate(ranks) if ranks else np.zeros(0, np.int64)
-            rank = np.concatenate([np.arange(none), none + place])[rank]
+            rank = np.concatenate([np.arange(none), none + place]).astype(np.int32)[np.concatenate([np.zeros(0, np.int32), *ranks])]
             cuts = [*np.flatnonzero(np.diff(part[order], prepend=-1)).tolist(), len(words)]
             asked = []
             for a, b in zip(cuts, cuts[1:]):
@@ -271,7 +294,7 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                     found = [get(w) for w in words]
                     if None in found:
                         found = list(chain.from_iterable([r] if r is not None else told.get(w) or told_of(w) for r, w in zip(found, words)))
-                    ranks.append(np.array(found, np.int64))
+                    ranks.append(np.array(found, np.int32))
                     size += len(found)
                 docs.append(doc)
                 sizes.append(size)
@@ -287,7 +310,8 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts in order: each distinct word of a part is encoded once, and every chunk that asks gets its ids."""
-        tokenizer, now = tokenizer_of(shared.value[0]), -1
+        release()
+        tokenizer, now = tokenizer_of(shared_spec.value), -1
         known: dict[str, array] = {}
         for batch in sliced(batches, 64):
             out = []
@@ -305,8 +329,9 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["task", "chunk", "part", "data"])
 
     def joined(own: pa.Table, answers: pa.Table) -> pa.Table:
-        """Some chunks of one task with the ids of their other words."""
-        _, _, hot_size, hot_flat = shared.value
+        """Some chunks of one task with the ids of their other words, finished some documents at a time."""
+        release()
+        hot_size, hot_flat = shared_ids.value
         answers = answers.sort_by([("chunk", "ascending"), ("part", "ascending")])
         found: dict[int, list[bytes]] = {}
         for chunk, data in zip(answers["chunk"].to_pylist(), answers["data"].to_pylist()):
@@ -319,11 +344,14 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
                     size.append(own_size)
                     flat.append(np.frombuffer(body, "<u2" if code == "H" else "<u4").astype(np.int32))
                 each, ids = np.concatenate(size), np.concatenate(flat)
-                rank = unpacked(_large(data))
-                n = each[rank]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                whole = ids[np.repeat((np.cumsum(each) - each)[rank] - ends[:-1], n) + np.arange(int(ends[-1]))]
-                out.append(finish(docs, ends[np.cumsum(unpacked(sizes))], whole))
+                first, rank, last = np.cumsum(each) - each, unpacked(_large(data)), np.cumsum(unpacked(sizes))
+                for a, b in runs_of(last, run_words):
+                    at = int(last[a - 1]) if a else 0
+                    own_rank = rank[at : last[b - 1]]
+                    n = each[own_rank]
+                    ends = np.concatenate([[0], np.cumsum(n)])
+                    whole = ids[np.repeat(first[own_rank] - ends[:-1], n) + np.arange(int(ends[-1]))]
+                    out.append(finish(docs[a:b], ends[last[a:b] - at], whole))
         return pa.Table.from_batches(out, empty.schema)
 
     path = shared_path(spark, "bpe")
@@ -378,6 +406,20 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decod
     return df.toDF(*(f"_c{i}" for i in range(len(names)))).mapInArrow(over, schema).toDF(*names, out_col)
 
 
+def encode_decode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): what decode() gives of encode()'s ids, by the same join, in the worker that puts the ids together; so ids aren't sent to a second one."""
+    shared = df.sparkSession.sparkContext.broadcast(pieces_of(spec))
+    tables: list[pa.Array] = []
+
+    def back(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        if not tables:
+            tables.append(pa.array(shared.value, pa.large_binary()))
+        texts = [t.decode("utf-8", "replace") for t in _joined_by_id(tables[0], ids, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _lists(ends, ids), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return encode(df, spec, id_col, text_col, back, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from those ids through the piece table."""
     shared = df.sparkSession.sparkContext.broadcast(pieces_of(spec))

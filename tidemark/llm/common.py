@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -94,6 +95,13 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.Re
     return df.mapInArrow(over, schema)
 
 
+def release() -> None:
+    """Give the system back what earlier tasks of this Python worker, which Spark keeps for others, have freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null becomes the empty text."""
     return [t if t is not None else "" for t in column.to_pylist()]
