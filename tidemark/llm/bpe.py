@@ -98,6 +98,16 @@ def _encode(tokenizer: Any, words: list[str]) -> list[list[int]]:
     return [e.ids for i in range(0, len(words), 4096) for e in tokenizer.encode_batch(words[i : i + 4096], add_special_tokens=False)]
 
 
+def _encoded_hot(spec: str, hot: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids; only a few thousand words' lists are held at a time."""
+    tokenizer, many, flat = tokenizer_of(spec), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for i in range(0, len(hot), 4096):
+        ids = _encode(tokenizer, hot[i : i + 4096])
+        many.append(np.array([len(x) for x in ids], np.int64))
+        flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
+    return np.concatenate(many), np.concatenate(flat)
+
+
 # small numbers as bytes --------------------------------------------------------------------------
 
 
@@ -187,7 +197,7 @@ def hot_words(texts: DataFrame, spec: str, most: int = HOT) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
     counts = cut(texts.mapInArrow(over, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    return [r.word for r in sorted(heaviest(counts, most).collect(), key=lambda r: (-r.n, r.word))]
+    return heaviest(counts, most).toArrow().sort_by([("n", "descending"), ("word", "ascending")])["word"].to_pylist()
 
 
 _LAST = 2**31 - 1
@@ -246,13 +256,13 @@ def encode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "te
     special = special_tokens(spec)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot = hot_words(rows.select("text"), spec)
-    ready = _encode(tokenizer_of(spec), hot)  # once, here: HOT words at most
-    many, flat = np.array([len(x) for x in ready], np.int64), np.fromiter(chain.from_iterable(ready), np.int32)
-    del ready
+    many, flat = _encoded_hot(spec, hot)  # once, here: HOT words at most
     shared_spec, shared_hot, shared_ids = map(spark.sparkContext.broadcast, (spec, hot, (many, flat)))  # apart, so that a worker holds what its task needs
     n = shuffle_partitions(spark)
     chunk_chars, segment_chars, run_words = CHUNK_CHARS, SEGMENT_CHARS, RUN_WORDS
     none, parts, code = len(hot), PARTS * n, "H" if len(pieces_of(spec)) <= 1 << 16 else "I"
+    del hot, many, flat
+    release()  # the driver's Python too
     ranks_of: dict[str, int] = {}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,9 +422,9 @@ def encode_decode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: st
     tables: list[pa.Array] = []
 
     def back(docs: list, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        if not tables:
+        if docs and not tables:
             tables.append(pa.array(shared.value, pa.large_binary()))
-        texts = [t.decode("utf-8", "replace") for t in _joined_by_id(tables[0], ids, ends)]
+        texts = [t.decode("utf-8", "replace") for t in _joined_by_id(tables[0], ids, ends)] if docs else []
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _lists(ends, ids), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encode(df, spec, id_col, text_col, back, "doc_id long, ids array<int>, decoded string")
